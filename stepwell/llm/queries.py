@@ -11,7 +11,7 @@ from ..session import table
 from .bpe import encode_decode
 from .html_text import extract
 from .quality import judged
-from . import token_files
+from . import token_files, warc
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(spark, table(spark, sf_dir, "pages"))
+    return warc.digests(warc.captures(warc.read_records(spark, archives, with_payload=False)))
+
+
+ORACLES["op5_warc_captures"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN o USING (payload_digest)"""
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.write(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
