@@ -12,7 +12,7 @@ from .bpe import encode_decode
 from .decontaminate import contamination
 from .html_text import extract
 from .quality import judged
-from . import token_files, warc
+from . import language_id, token_files, warc
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,12 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM p LEFT JOIN o USING (payload_digest)"""
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.write(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
