@@ -12,7 +12,7 @@ from .bpe import encode_decode
 from .decontaminate import contamination
 from .html_text import extract
 from .quality import judged
-from . import language_id, token_files, warc
+from . import language_id, lm_score, token_files, warc
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, written, with_ids=False)
 
 
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
