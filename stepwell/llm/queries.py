@@ -11,6 +11,7 @@ from ..session import table
 from .bpe import encode_decode
 from .decontaminate import contamination
 from .html_text import extract
+from .near_duplicates import near_duplicates
 from .quality import judged
 from . import language_id, lm_score, token_files, warc
 from .token_counts import token_counts
@@ -58,6 +59,11 @@ def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.captures(warc.read_records(spark, archives, with_payload=False)))
 
 
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 ORACLES["op5_warc_captures"] = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
