@@ -43,6 +43,8 @@ class Blocks:
     surge: int = 86
     #: A line with this share of its characters in links has no weight there.
     link_share: float = 0.6
+    #: There, lines of fewer words at either end of a stretch of text have none: a window reaches beyond the text.
+    edge_words: int = 3
 
 
 def _words(attrs: str) -> set[str]:
@@ -131,6 +133,7 @@ def main_text(page: str | None, blocks: Blocks = Blocks()) -> str:
     named = any(inside and not apart for _, _, apart, inside in rows)
     weights = [0 if apart or named and not inside or not named and linked > blocks.link_share * len(text) else len(text) for text, linked, apart, inside in rows]
     threshold, n, kept = 0 if named else blocks.surge, len(rows), []
+    stretch: list[str] = []
     total = sum(weights[: blocks.window])  # of the window that starts at i
     inside = False
     for i in range(n):
@@ -138,10 +141,17 @@ def main_text(page: str | None, blocks: Blocks = Blocks()) -> str:
             inside = True
         elif inside and not total:
             inside = False
+            kept += _trimmed(stretch, 0 if named else blocks.edge_words)
+            stretch = []
         if inside and weights[i]:
-            kept.append(rows[i][0])
+            stretch.append(rows[i][0])
         total += (weights[i + blocks.window] if i + blocks.window < n else 0) - weights[i]
-    return " ".join(kept)
+    return " ".join(kept + _trimmed(stretch, 0 if named else blocks.edge_words))
+
+
+def _trimmed(stretch: list[str], words: int) -> list[str]:
+    long = [k for k, text in enumerate(stretch) if len(text.split()) >= words]
+    return stretch[long[0] : long[-1] + 1] if long else []
 
 
 def extract(pages: DataFrame, blocks: Blocks = Blocks(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
