@@ -11,6 +11,7 @@ returns the number of links of each node and a spanning forest of them, not the
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +43,17 @@ class Settings:
 
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_WORD_IDS: dict[bytes, int] = {}
+
+
+class _WordIds(dict):
+    """A hash of each word, made when it is first asked for. Emptied before a text once it holds 400,000."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+
+_WORD_IDS = _WordIds()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,8 +63,6 @@ def shingles(text: str | None, settings: Settings) -> np.ndarray:
     if len(_WORD_IDS) > 400_000:
         _WORD_IDS.clear()
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    for w in set(words) - _WORD_IDS.keys():
-        _WORD_IDS[w] = xxhash.xxh64_intdigest(w)
     ids = np.fromiter(map(_WORD_IDS.__getitem__, words), np.uint64, len(words))
     n = max(1, len(ids) - settings.words + 1)
     out = np.zeros(n if len(ids) else 0, np.uint64)
@@ -63,6 +72,7 @@ def shingles(text: str | None, settings: Settings) -> np.ndarray:
     return np.unique(out)
 
 
+@functools.cache
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     return rng.integers(0, 1 << 32, n, np.uint32), rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1)
