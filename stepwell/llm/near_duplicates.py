@@ -248,7 +248,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), folder: st
     class_ids = classes.join(ids, "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
     known = classes.join(class_ids, "label").select(F.col("node").alias("key"), "class_id").join(counts.withColumnRenamed("node", "key"), "key", "left")
     told = nodes.join(known.withColumn("in_class", F.lit(True)), "key", "left").select("key", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return base.select("id", "key").join(told, "key").select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "class_id", "n_links")
+    # From a written table, so that the join deals out both sides anew and AQE can split a text of very many copies.
+    told.write.parquet(f"{folder}/told")
+    return base.select("id", "key").join(spark.read.parquet(f"{folder}/told"), "key").select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings(), folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
