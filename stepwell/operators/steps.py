@@ -21,7 +21,8 @@ def naive(text: Column) -> Column:
 def message_text(step: Column | str) -> Column:
     """A message is a string, or an array of parts whose texts are joined by a blank line. What it is, the JSON tells,
     as a string may begin with a bracket too."""
-    is_array = F.col(step).rlike(r'(?s)^\s*\{(?:.*,)?\s*"message"\s*:\s*\[') if isinstance(step, str) else step.rlike(r'"message"\s*:\s*\[')
+    column = F.col(step) if isinstance(step, str) else step
+    is_array = column.rlike(r'"message"\s*:\s*\[')
     raw = text_at(step, "$.message")
     parts = F.from_json(raw, "array<struct<text: string>>")
     return F.when(is_array & F.startswith(F.ltrim(raw), F.lit("[")) & parts.isNotNull(), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n")).otherwise(raw)
