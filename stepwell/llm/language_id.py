@@ -94,7 +94,6 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], calibration: list[tu
     model = Model(languages, np.zeros((len(idf), k)), np.zeros(k), idf, 1.0, s)
     # The bias is the last row: a feature that is always 1.
     z, squares = np.zeros((len(idf) + 1, k)), np.zeros((len(idf) + 1, k))
-    rows = [(index[lang], np.append(at, len(idf)), np.append(model.features(at, n), 1.0)) for lang, at, n in examples]
 
     def weights(at) -> np.ndarray:
         zs = z[at]
@@ -102,8 +101,9 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], calibration: list[tu
 
     order = np.random.default_rng(0)
     for _ in range(s.epochs):
-        for i in order.permutation(len(rows)):
-            y, at, x = rows[i]
+        for i in order.permutation(len(examples)):
+            lang, at, n = examples[i]
+            y, at, x = index[lang], np.append(at, len(idf)), np.append(model.features(at, n), 1.0)
             w = weights(at)
             p = softmax(x @ w)
             p[y] -= 1
@@ -172,7 +172,12 @@ def learn(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     # The limit only holds where many rows are equal, as those are sampled together.
     most = 2 * settings.sample_per_language * len(per_language)
     got = sample.limit(most).mapInArrow(examples, "lang string, turn long, at array<int>, n array<int>").toArrow()
-    rows = sorted(zip(got["turn"].to_pylist(), got["lang"].to_pylist(), map(np.array, got["at"].to_pylist()), map(np.array, got["n"].to_pylist()), strict=True), key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    # Slices of two arrays, as a list of numbers for each example would take the driver many times the memory.
+    parts = [got[c].combine_chunks() for c in ("at", "n")]
+    ends = [x.offsets.to_numpy() for x in parts]
+    flat = [x.values.to_numpy() for x in parts]
+    cut = lambda c, i: flat[c][ends[c][i] : ends[c][i + 1]]
+    rows = sorted(((turn, lang, cut(0, i), cut(1, i)) for i, (turn, lang) in enumerate(zip(got["turn"].to_pylist(), got["lang"].to_pylist(), strict=True))), key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
     fit_on = [r[1:] for r in rows if r[0]] or [r[1:] for r in rows]
     return fit(fit_on, [r[1:] for r in rows if not r[0]], idf, settings)
 
