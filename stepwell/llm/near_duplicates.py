@@ -46,7 +46,7 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 class _WordIds(dict):
-    """A hash of each word, made when it is first asked for. Emptied before a text once it holds 400,000."""
+    """A hash of each word, made when it is first asked for. Emptied before a text once it holds 150,000."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = out = xxhash.xxh64_intdigest(word)
@@ -60,7 +60,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def shingles(text: str | None, settings: Settings) -> np.ndarray:
     """The sorted set of a text's word n-grams as 64-bit hashes. Words are runs of ASCII letters and digits (A to Z
     lower-cased) and characters beyond ASCII; a text of fewer words than n is one n-gram, one without words has none."""
-    if len(_WORD_IDS) > 400_000:
+    if len(_WORD_IDS) > 150_000:
         _WORD_IDS.clear()
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
     ids = np.fromiter(map(_WORD_IDS.__getitem__, words), np.uint64, len(words))
