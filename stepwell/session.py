@@ -27,6 +27,8 @@ def build(app: str = "stepwell", cores: int | str = "*", memory: str = "8g", **c
 def share_code(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package where it lies; on a cluster, ship it with --py-files instead."""
     env = spark.sparkContext.environment
+    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return spark  # they find it already; another environment would be other workers beside those that run
     if str(ROOT) not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), env.get("PYTHONPATH", "")]))
     return spark
