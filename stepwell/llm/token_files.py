@@ -15,7 +15,6 @@ the data bytes. ``ranks.bin`` beside the shards holds the id of each rank as uns
 from __future__ import annotations
 
 import functools
-import os
 import re
 import sys
 import unicodedata
@@ -106,24 +105,26 @@ def _word_splitter(last: int) -> re.Pattern:
 
 
 class WordEncoder:
-    """Whole texts to ids as the tokenizer library gives them, each distinct word encoded by the library once.
+    """Whole texts to ids as the tokenizer library gives them, each distinct pre-token encoded by its model once.
 
-    It knows vocabularies whose normaliser is NFC, white space to a space, lower case. A text whose lower-cased form is
-    no NFC text, where a word by itself could be normalised further, goes to the library whole.
+    It knows vocabularies whose normaliser is NFC, white space to a space, lower case. Texts with special strings, and
+    those whose lower-cased form is no NFC text, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.stand_in = {b: c for c, b in B.byte_chars().items()}
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):
+            return None
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # The library lowers each character by itself, so a final sigma is like any other.
@@ -133,18 +134,23 @@ class WordEncoder:
         astral = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
         return _word_splitter(sys.maxunicode if astral else 0xFFFF).findall(text)
 
+    def _learn(self, new: list[str]) -> None:
+        model, kind, stand_in = self.library.model.tokenize, self.kind, self.stand_in.__getitem__
+        for word in new:
+            shown = word if word.isascii() and word.isprintable() else "".join(map(stand_in, word.encode()))
+            self.cache[word] = np.array([t.id for t in model(shown)], kind).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._pieces(t) if not any(s in t for s in self.special) else None for t in texts]
+        """Ids of each text as little-endian unsigned integers of ``kind``."""
+        split = [self._pieces(t) for t in texts]
         words = set().union(*(p for p in split if p is not None))
-        new = list(words - self.cache.keys())
+        new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = list(words)
-        for word, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(e.ids, "<u4").tobytes()
-        word_ids = self.cache.__getitem__
-        return [b"".join(map(word_ids, p)) if p is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for p, t in zip(split, texts, strict=True)]
+        self._learn(new)
+        ids = self.cache.__getitem__
+        return [b"".join(map(ids, p)) if p is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for p, t in zip(split, texts, strict=True)]
 
 
 @functools.cache
@@ -152,9 +158,14 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def id_kind(path: str) -> np.dtype:
+    """Two bytes where they hold every id of the vocabulary, else four."""
+    return _encoder(path).kind
+
+
 def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids`` (binary, little-endian unsigned 32-bit) of every row; null text: the end id alone."""
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    """``doc_id`` and ``ids`` of every row (binary: little-endian, unsigned, of ``id_kind``); null text: the end id alone."""
+    tail = b"" if end_id is None else np.array([end_id], id_kind(path)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
@@ -170,14 +181,14 @@ def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: str
     return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(rows: DataFrame) -> DataFrame:
+def id_counts(rows: DataFrame, kind: np.dtype) -> DataFrame:
     """``id`` and ``n`` over all ``ids``; each task adds up first, so what is shuffled is bounded by the vocabulary."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+                n = np.bincount(np.frombuffer(ids.as_buffer(), kind))
                 if len(n) > len(total):
                     n[: len(total)] += total
                     total = n
@@ -215,9 +226,10 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
     empty table gives no shard. The id column must be a whole number; other columns are not read.
     """
     folder = files.run_folder(spark, "tokens", folder)
+    kind = id_kind(path)
     encoded(docs, path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(f"{folder}/encoded")
     rows = spark.read.parquet(f"{folder}/encoded")
-    counted = sorted(((r.n, r.id) for r in id_counts(rows).collect()), key=lambda x: (-x[0], x[1]))  # bounded by the vocabulary
+    counted = sorted(((r.n, r.id) for r in id_counts(rows, kind).collect()), key=lambda x: (-x[0], x[1]))  # bounded by the vocabulary
     by_rank = np.array([i for _, i in counted], "<u4")
     fs, at = files.create(f"{folder}/ranks.bin")
     with fs.open_output_stream(at) as out:
@@ -232,7 +244,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                ids = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column(1)]
+                ids = [np.frombuffer(x.as_buffer(), kind) for x in part.column(1)]
                 if out is None:
                     fs, at = files.create(name)
                     out = fs.open_output_stream(at)
