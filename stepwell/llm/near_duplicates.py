@@ -189,6 +189,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), folder: st
     null counts as empty. Repeated rows are documents of their own. Ids are whole numbers; a class of null ids alone has
     a null id. Other columns are not read.
     """
+    return _classes(docs, settings, folder, id_col, text_col).drop("class_key")
+
+
+def _classes(docs: DataFrame, settings: Settings, folder: str | None, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with ``class_key``, the smallest text key of those connected. Unlike ``class_id`` it tells apart
+    classes whose ids are null or repeated."""
     s, spark = settings, docs.sparkSession
     folder = files.run_folder(spark, "near", folder)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -246,20 +252,21 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), folder: st
     classes = components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), f"{folder}/classes")
     ids = nodes.select(F.col("key").alias("node"), "first_id")
     class_ids = classes.join(ids, "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
-    known = classes.join(class_ids, "label").select(F.col("node").alias("key"), "class_id").join(counts.withColumnRenamed("node", "key"), "key", "left")
-    told = nodes.join(known.withColumn("in_class", F.lit(True)), "key", "left").select("key", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = classes.join(class_ids, "label").select(F.col("node").alias("key"), "class_id", F.col("label").alias("class_key")).join(counts.withColumnRenamed("node", "key"), "key", "left")
+    told = nodes.join(known.withColumn("in_class", F.lit(True)), "key", "left").select("key", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # From a written table, so that the join deals out both sides anew and AQE can split a text of very many copies.
     told.write.parquet(f"{folder}/told")
-    return base.select("id", "key").join(spark.read.parquet(f"{folder}/told"), "key").select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "class_id", "n_links")
+    return base.select("id", "key").join(spark.read.parquet(f"{folder}/told"), "key").select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "class_id", "class_key", "n_links")
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings(), folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each class of ``near_duplicates`` whose id is the class's, with all columns of ``docs``. Of repeated
-    rows with that id one is kept."""
-    found = near_duplicates(docs, settings, folder, id_col, text_col)
+    """The row of each class of ``near_duplicates`` whose id is the class's, with all columns of ``docs``: of several
+    with that id, one with the smallest text key. Texts of one id, or of null ids, that aren't linked are classes of
+    their own, and each keeps a row."""
+    found = _classes(docs, settings, folder, id_col, text_col)
     folder = files.run_folder(docs.sparkSession, "kept", folder)
-    found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("_kept_id")).agg(F.min("text_key").alias("_kept_key"), F.count("*").alias("_rows")).write.parquet(folder)
+    found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.first("class_id").alias("_kept_id"), F.min("text_key").alias("_kept_key"), F.count("*").alias("_rows")).drop("class_key").write.parquet(folder)
     kept = docs.sparkSession.read.parquet(folder)
     key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key")), "left_semi")
-    return rows.dropDuplicates([id_col]) if kept.where("_rows > 1").limit(1).count() else rows
+    return rows.withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key") if kept.where("_rows > 1").limit(1).count() else rows
