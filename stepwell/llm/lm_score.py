@@ -209,17 +209,23 @@ def score(docs: DataFrame, settings: Settings = Settings(), folder: str | None =
     ids[own] = 2 + np.arange(len(own))
     unigram = np.concatenate([[n_tokens - n[own].sum(), n_docs], n[own]]).astype(np.float64)
     scale = 1_000_000
-    share = min(scale, -(-s.sample_documents * scale // max(1, n_docs)))
+    share = min(1.0, s.sample_documents / max(1, n_docs))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(hashes)
         for batch in batches:
             out = [np.append(ids[np.minimum(c, len(hashes))], END).astype(np.int32) for words in _chunks(batch.column(0)) for c in lookup(words)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["ids"])
-
-    # The limit only holds where many rows are equal, as those are sampled together.
-    sample = learned_from.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < share).limit(2 * s.sample_documents).mapInArrow(sampled, "ids array<int>").toArrow()
-    documents = sorted((np.array(x, np.int64) for x in sample["ids"].to_pylist()), key=lambda x: (len(x), x.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], ["ids", "copies"])
+
+    # By text: of n copies the sample has n times the share, rounded up or down by a hash of the text, so neither the order
+    # of rows nor a text of very many copies (null is the empty one) decides what else is in it.
+    keyed = learned_from.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    copies = F.floor(F.col("n") * F.lit(share) + F.pmod(F.xxhash64("key"), F.lit(scale)) / scale).cast("long")
+    drawn = keyed.groupBy("key").agg(F.count("*").alias("n")).select("key", copies.alias("copies")).where("copies > 0").toArrow()
+    chosen = spark.createDataFrame(drawn) if len(drawn) else spark.createDataFrame([], "key long, copies long")
+    sample = keyed.join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("copies").alias("copies")).select("text", "copies").mapInArrow(sampled, "ids array<int>, copies long").toArrow()
+    drawn_ids = sorted(((np.array(x, np.int64), n) for x, n in zip(sample["ids"].to_pylist(), sample["copies"].to_pylist(), strict=True)), key=lambda x: (len(x[0]), x[0].tobytes()))
+    documents = [x for x, n in drawn_ids for _ in range(n)]
     tables = train(documents, unigram, s)
 
     other_words, other_tokens = n_words - len(own), n_tokens - int(n[own].sum())

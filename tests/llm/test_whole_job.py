@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("stepwell.llm")
 
-from stepwell.llm import near_duplicates
+from stepwell.llm import lm_score, near_duplicates
 
 
 def test_keep_one_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
@@ -16,3 +16,18 @@ def test_keep_one_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
     got = sorted(map(tuple, near_duplicates.keep_one(docs).collect()), key=repr)
     want = [(None, texts["a"]), (None, texts["b"]), (None, None), (7, texts["c"]), (7, texts["d"]), (9, texts["e"]), (10, texts["f"] + " more")]
     assert got == sorted(want, key=repr)
+
+
+def test_lm_score_with_very_many_null_texts(spark):
+    """Null texts, which come first, do not push other texts out of what the model learns from."""
+    texts = [(k, "red blue " * 20 if k % 2 else "one two three " * 15) for k in range(300)]
+    settings = lm_score.Settings(sample_documents=1000, batch=64)
+
+    def scores(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        return {r.doc_id: r.score for r in lm_score.score(docs, settings).collect() if r.doc_id in (1, 2)}
+
+    nulls = [(10_000 + k, None) for k in range(3000)]
+    first, last = scores(nulls + texts), scores(texts + nulls)
+    assert first == pytest.approx(last, rel=0.05)
+    assert first[1] > -15 and first[2] > -15
