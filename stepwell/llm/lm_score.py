@@ -6,9 +6,11 @@ Counting. Every task counts the words of its training documents and the counts a
 are joined, by hash, with the counts.
 
 Model. The most frequent words, the end of a document and one class for all other words are its vocabulary. Two context
-words predict the next: score(w | u, v) = r_w . (c1 * q_u + c2 * q_v) + b_w. It is trained in numpy on a bounded sample
-of training documents (``Settings.sample_documents``) against noise from the counts over all of them, whose logarithms
-the biases start from. As the vocabulary is small, matrix products give the scores of all pairs and the normaliser of
+words predict the next: score(w | u, v) = r_w . (c1 * q_u + c2 * q_v) + b_w. It is trained in numpy on all training
+documents against noise from the counts over all of them, whose logarithms the biases start from. A first model is
+trained on the driver, on a bounded sample (``Settings.sample_documents``). From there every task trains on its
+documents and the parameters are merged, weighted by tokens, ``Settings.epochs`` times; sums are of whole numbers, so
+their order does not matter. As the vocabulary is small, matrix products give the scores of all pairs and the normaliser of
 every context once, and a token's normalised log-probability is a sum of table entries. A word of the other class gets,
 besides, its share of the class by its count (0.5 is added to counts, one share is for unseen words).
 """
@@ -40,7 +42,7 @@ class Settings:
     #: Bound of the broadcast table of counts: 16 bytes a word.
     frequent_words: int = 200_000
     vocabulary: int = 500
-    #: Bound, in expectation, of the sample that the model is trained on.
+    #: Bound, in expectation, of the sample that the first model is trained on, before all documents are.
     sample_documents: int = 3000
     dimensions: int = 16
     noise: int = 64
@@ -79,6 +81,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(add_up, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one and two places before each of documents one after another, whose beginnings are preceded by ends."""
+    u = np.concatenate([[END], ids[:-1]])[: len(ids)]
+    v = np.concatenate([[END, END], ids[:-2]])[: len(ids)]
+    v[u == END] = END
+    return u, v
+
+
 @dataclass
 class Tables:
     """The normalised model as tables of natural logarithms: log p = near[u, w] + far[v, w] + bias[w] - norm[u, v]."""
@@ -89,55 +99,130 @@ class Tables:
     norm: np.ndarray
 
     def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
-        """Of each id of a document, whose beginning is preceded by ends."""
-        u = np.concatenate([[END], ids[:-1]])
-        v = np.concatenate([[END, END], ids[:-2]])[: len(ids)]
+        """Of each id of documents one after another."""
+        u, v = contexts(ids)
         return self.near[u, ids] + self.far[v, ids] + self.bias[ids] - self.norm[u, v]
 
 
-def train(documents: list[np.ndarray], unigram: np.ndarray, settings: Settings) -> Tables:
-    """``documents``: ids with the end; ``unigram``: counts of all ids over all training documents."""
-    s, size, d = settings, len(unigram), settings.dimensions
-    rng = np.random.default_rng(0)
-    p_noise = (unigram + 0.5) / (unigram + 0.5).sum()
-    log_noise = np.log(s.noise * p_noise)
-    target, context = (rng.normal(0, 0.1, (size, d)) for _ in range(2))
-    places, bias = np.ones((2, d)) * [[1.0], [0.5]], np.log(p_noise)
-    params = [target, context, places, bias]
-    squares = [np.full_like(x, 1e-2) for x in params]
-    if documents:
-        w = np.concatenate(documents)
-        u = np.concatenate([np.concatenate([[END], x[:-1]]) for x in documents])
-        v = np.concatenate([np.concatenate([[END, END], x[:-2]])[: len(x)] for x in documents])
-    for _ in range(s.epochs if documents else 0):
+class Learner:
+    """The model in training: its parameters and the sums of squared gradients that their steps are scaled by."""
+
+    def __init__(self, unigram: np.ndarray, settings: Settings) -> None:
+        """``unigram``: counts of all ids over all training documents."""
+        size, d = len(unigram), settings.dimensions
+        self.settings, self.rng = settings, np.random.default_rng(0)
+        self.p_noise = (unigram + 0.5) / (unigram + 0.5).sum()
+        self.log_noise = np.log(settings.noise * self.p_noise)
+        target, context = (self.rng.normal(0, 0.1, (size, d)) for _ in range(2))
+        self.params = [target, context, np.ones((2, d)) * [[1.0], [0.5]], np.log(self.p_noise)]
+        self.squares = [np.full_like(x, 1e-2) for x in self.params]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.params + self.squares])
+
+    def load(self, flat: np.ndarray) -> None:
+        parts = np.split(flat, np.cumsum([x.size for x in self.params + self.squares])[:-1])
+        shaped = [np.array(x).reshape(y.shape) for x, y in zip(parts, self.params + self.squares, strict=True)]
+        self.params, self.squares = shaped[: len(self.params)], shaped[len(self.params) :]
+
+    def learn(self, w: np.ndarray) -> None:
+        """A pass, in random order, over the ids of documents one after another, each with its end."""
+        s, rng, p_noise, log_noise = self.settings, self.rng, self.p_noise, self.log_noise
+        target, context, places, bias = self.params
+        u, v = contexts(w)
+        column = np.arange(target.shape[1])
+
+        def add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+            np.add.at(to.reshape(-1), (rows[:, None] * len(column) + column).reshape(-1), values.reshape(-1))
+
         order = rng.permutation(len(w))
         for start in range(0, len(w), s.batch):
             at = order[start : start + s.batch]
             y, cu, cv = w[at], context[u[at]], context[v[at]]
             q = cu * places[0] + cv * places[1]
-            drawn = rng.choice(size, s.noise, p=p_noise)
+            drawn = rng.choice(len(bias), s.noise, p=p_noise)
             # Logistic errors of the true words (wanted: 1) and of the noise words, shared by the batch (wanted: 0).
             e_true = 1 / (1 + np.exp(-((q * target[y]).sum(1) + bias[y] - log_noise[y]))) - 1
             e_noise = 1 / (1 + np.exp(-(q @ target[drawn].T + bias[drawn] - log_noise[drawn])))
             g_q = e_true[:, None] * target[y] + e_noise @ target[drawn]
             g_target, g_context, g_bias = np.zeros_like(target), np.zeros_like(context), np.zeros_like(bias)
-            np.add.at(g_target, y, e_true[:, None] * q)
-            np.add.at(g_target, drawn, e_noise.T @ q)
+            add(g_target, y, e_true[:, None] * q)
+            add(g_target, drawn, e_noise.T @ q)
             np.add.at(g_bias, y, e_true)
             np.add.at(g_bias, drawn, e_noise.sum(0))
-            np.add.at(g_context, u[at], g_q * places[0])
-            np.add.at(g_context, v[at], g_q * places[1])
-            for x, square, g in zip(params, squares, (g_target, g_context, np.stack([(g_q * cu).sum(0), (g_q * cv).sum(0)]), g_bias), strict=True):
+            add(g_context, u[at], g_q * places[0])
+            add(g_context, v[at], g_q * places[1])
+            for x, square, g in zip(self.params, self.squares, (g_target, g_context, np.stack([(g_q * cu).sum(0), (g_q * cv).sum(0)]), g_bias), strict=True):
                 g /= len(at)
                 square += g * g
                 x -= s.rate * g / np.sqrt(square)
-    near, far = (context * places[0]) @ target.T, (context * places[1]) @ target.T
-    norm = np.empty((size, size))
-    for i in range(size):
-        z = far + (near[i] + bias)[None, :]
-        top = z.max(axis=1)
-        norm[i] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
-    return Tables(*(x.astype(np.float32) for x in (near, far, bias, norm)))
+
+    def tables(self) -> Tables:
+        target, context, places, bias = self.params
+        size = len(bias)
+        near, far = (context * places[0]) @ target.T, (context * places[1]) @ target.T
+        norm = np.empty((size, size))
+        for i in range(size):
+            z = far + (near[i] + bias)[None, :]
+            top = z.max(axis=1)
+            norm[i] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+        return Tables(*(x.astype(np.float32) for x in (near, far, bias, norm)))
+
+
+def trained(documents: list[np.ndarray], unigram: np.ndarray, settings: Settings) -> Learner:
+    """``documents``: ids with the end; ``unigram``: counts of all ids over all training documents."""
+    learner = Learner(unigram, settings)
+    for _ in range(settings.epochs if documents else 0):
+        learner.learn(np.concatenate(documents))
+    return learner
+
+
+def train(documents: list[np.ndarray], unigram: np.ndarray, settings: Settings) -> Tables:
+    return trained(documents, unigram, settings).tables()
+
+
+def _pieces(column: pa.ListArray, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row, row after the last, and ids of runs of rows with about ``most`` ids."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
+        yield start, stop, values[offsets[start] : offsets[stop]].astype(np.int64)
+        start = stop
+
+
+#: Merged parameters are sums of whole numbers: shares of this.
+_UNIT = 1 << 40
+
+
+def learn_from_all(encoded: DataFrame, learner: Learner, n_tokens: int) -> None:
+    """Passes over all rows of ``encoded`` (``own``: ids of a document with its end; ``n_tokens`` together). Tasks start
+    from the parameters so far, which the mean of theirs by tokens follows."""
+    s, context = learner.settings, encoded.sparkSession.sparkContext
+    for _ in range(s.epochs if n_tokens else 0):
+        held = context.broadcast(learner)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = Learner(np.zeros(len(held.value.p_noise)), s)
+            mine.p_noise, mine.log_noise, n = held.value.p_noise, held.value.log_noise, 0
+            mine.load(held.value.flat())
+            waiting, size = [], 0
+            for batch in batches:
+                for _, _, ids in _pieces(batch.column(0)):
+                    waiting.append(ids)
+                    size += len(ids)
+                    if size >= 400_000:
+                        mine.learn(np.concatenate(waiting))
+                        n, waiting, size = n + size, [], 0
+            if size:
+                mine.learn(np.concatenate(waiting))
+                n += size
+            if n:
+                parts = np.rint(mine.flat() * (n / n_tokens * _UNIT)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array(parts)], ["at", "part"])
+
+        sums = encoded.select("own").mapInArrow(run, "at int, part long").groupBy("at").agg(F.sum("part").alias("part")).toArrow().sort_by("at")
+        learner.load(np.array(sums["part"], np.float64) / _UNIT)
 
 
 class Lookup:
@@ -190,7 +275,7 @@ def score(docs: DataFrame, settings: Settings = Settings(), folder: str | None =
     spark, s = docs.sparkSession, settings
     folder = files.run_folder(spark, "lm", folder)
     held_out, is_training = training(id_col, s.part, s.parts)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     learned_from = docs.where(is_training).select(F.col(text_col).cast("string").alias("text"))
     n_docs = docs.where(is_training).count()
     word_counts(learned_from).write.parquet(f"{folder}/counts")
@@ -208,61 +293,69 @@ def score(docs: DataFrame, settings: Settings = Settings(), folder: str | None =
     ids = np.full(len(n) + 1, OTHER, np.int64)  # by place in the table; the last is for all other words
     ids[own] = 2 + np.arange(len(own))
     unigram = np.concatenate([[n_tokens - n[own].sum(), n_docs], n[own]]).astype(np.float64)
-    scale = 1_000_000
-    share = min(1.0, s.sample_documents / max(1, n_docs))
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(hashes)
-        for batch in batches:
-            out = [np.append(ids[np.minimum(c, len(hashes))], END).astype(np.int32) for words in _chunks(batch.column(0)) for c in lookup(words)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], ["ids", "copies"])
-
-    # By text: of n copies the sample has n times the share, rounded up or down by a hash of the text, so neither the order
-    # of rows nor a text of very many copies (null is the empty one) decides what else is in it.
-    keyed = learned_from.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    copies = F.floor(F.col("n") * F.lit(share) + F.pmod(F.xxhash64("key"), F.lit(scale)) / scale).cast("long")
-    drawn = keyed.groupBy("key").agg(F.count("*").alias("n")).select("key", copies.alias("copies")).where("copies > 0").toArrow()
-    chosen = spark.createDataFrame(drawn) if len(drawn) else spark.createDataFrame([], "key long, copies long")
-    sample = keyed.join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("copies").alias("copies")).select("text", "copies").mapInArrow(sampled, "ids array<int>, copies long").toArrow()
-    drawn_ids = sorted(((np.array(x, np.int64), n) for x, n in zip(sample["ids"].to_pylist(), sample["copies"].to_pylist(), strict=True)), key=lambda x: (len(x[0]), x[0].tobytes()))
-    documents = [x for x, n in drawn_ids for _ in range(n)]
-    tables = train(documents, unigram, s)
-
     other_words, other_tokens = n_words - len(own), n_tokens - int(n[own].sum())
     log_share = float(np.log10(other_tokens + 0.5 * (other_words + 1)))
     log_total = float(np.log10(total + 0.5 * (distinct + 1)))
     log_count = np.log10(np.append(n, 0) + 0.5)
     end_count = float(np.log10(n_docs + 0.5))
     log_none = float(np.log10(0.5))
-    held = spark.sparkContext.broadcast((hashes, ids, log_count, tables))
+    known = spark.sparkContext.broadcast((hashes, ids, log_count))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, log_count, tables = held.value
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, ids, log_count = known.value
         lookup, last = Lookup(hashes), len(hashes)
         number = itertools.count(TaskContext.get().partitionId() << 36)
         for batch in batches:
             start = 0
             for words in _chunks(batch.column(1)):
-                keys, n_known, base, model, rare = [], [], [], [], []
+                keys, n_known, base, others, own, rare = [], [], [], [], [], []
                 for c in lookup(words):
                     frequent = c < last
                     place = np.minimum(c, last)
-                    logs, own = log_count[place], np.append(ids[place], END)
+                    logs = log_count[place]
                     keys.append(next(number))
+                    own.append(np.append(ids[place], END).astype(np.int32))
                     rare.append(lookup.rare[c[~frequent] - last])
                     n_known.append(int(frequent.sum()) + (n_docs > 0))
                     base.append(float(logs.sum()) + end_count)
-                    other = own[:-1] == OTHER
-                    model.append(float(tables.log_probabilities(own).sum(dtype=np.float64)) / np.log(10) + float(logs[other].sum()) - int(other.sum()) * log_share)
+                    other = own[-1][:-1] == OTHER
+                    others.append(float(logs[other].sum()) - int(other.sum()) * log_share)
                 part = batch.slice(start, len(words))
                 start += len(words)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(keys, pa.int64()), pa.array([len(x) + 1 for x in words], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rare, pa.list_(pa.int64()))],
-                    ["id", "held_out", "row", "n_tokens", "n_known", "base", "model", "rare"],
+                    [part.column(0), part.column(2), part.column(3), pa.array(keys, pa.int64()), pa.array([len(x) + 1 for x in words], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(others, pa.float64()), pa.array(own, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.int64()))],
+                    ["id", "held_out", "key", "row", "n_tokens", "n_known", "base", "others", "own", "rare"],
                 )
 
-    slim.mapInArrow(scored, f"id {slim.schema[0].dataType.simpleString()}, held_out boolean, row long, n_tokens long, n_known long, base double, model double, rare array<long>").write.option("compression", "zstd").parquet(f"{folder}/scored")
-    done = spark.read.parquet(f"{folder}/scored")
+    slim.mapInArrow(encoded, f"id {slim.schema[0].dataType.simpleString()}, held_out boolean, key long, row long, n_tokens long, n_known long, base double, others double, own array<int>, rare array<long>").write.option("compression", "zstd").parquet(f"{folder}/encoded")
+    done = spark.read.parquet(f"{folder}/encoded")
+    learned = done.where("NOT held_out")
+
+    scale = 1_000_000
+    share = min(1.0, s.sample_documents / max(1, n_docs))
+    # By text: of n copies the sample has n times the share, rounded up or down by a hash of the text, so neither the order
+    # of rows nor a text of very many copies (null is the empty one) decides what else is in it.
+    copies = F.floor(F.col("n") * F.lit(share) + F.pmod(F.xxhash64("key"), F.lit(scale)) / scale).cast("long")
+    drawn = learned.groupBy("key").agg(F.count("*").alias("n")).select("key", copies.alias("copies")).where("copies > 0").toArrow()
+    chosen = spark.createDataFrame(drawn) if len(drawn) else spark.createDataFrame([], "key long, copies long")
+    sample = learned.join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("own").alias("own"), F.first("copies").alias("copies")).toArrow()
+    drawn_ids = sorted(((np.array(x, np.int64), n) for x, n in zip(sample["own"].to_pylist(), sample["copies"].to_pylist(), strict=True)), key=lambda x: (len(x[0]), x[0].tobytes()))
+    learner = trained([x for x, n in drawn_ids for _ in range(n)], unigram, s)
+    learn_from_all(learned, learner, total)
+    tables = spark.sparkContext.broadcast(learner.tables())
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, sums = batch.column(0), [np.zeros(0)]
+            for start, stop, ids in _pieces(column):
+                starts = column.offsets.to_numpy()[start:stop]
+                sums.append(np.add.reduceat(tables.value.log_probabilities(ids), starts - starts[0], dtype=np.float64) / np.log(10))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sums)), *batch.columns[1:]], ["model", *names])
+
+    kept = done.select("own", "id", "held_out", "row", "n_tokens", "n_known", "base", "others")
+    names = kept.columns[1:]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema[1:])
+    modelled = kept.mapInArrow(scored, f"model double, {kinds}").withColumn("model", F.col("model") + F.col("others"))
     # Words that are no training words keep the logarithm of 0.5 that ``scored`` gave them.
     more = (
         done.select("row", F.explode("rare").alias("h"))
@@ -271,7 +364,7 @@ def score(docs: DataFrame, settings: Settings = Settings(), folder: str | None =
         .agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 0.5) - log_none).alias("gain"))
     )
     gain = F.coalesce("gain", F.lit(0.0))
-    return done.drop("rare").join(more, "row", "left").select(
+    return modelled.join(more, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",

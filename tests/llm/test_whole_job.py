@@ -31,3 +31,10 @@ def test_lm_score_with_very_many_null_texts(spark):
     first, last = scores(nulls + texts), scores(texts + nulls)
     assert first == pytest.approx(last, rel=0.05)
     assert first[1] > -15 and first[2] > -15
+
+
+def test_lm_score_learns_from_all_training_documents(spark):
+    """Contexts that hardly any document of the sample shows are learned from the others, in whatever task they are."""
+    docs = spark.createDataFrame([(k, "red blue " * 20 if k % 2 else "one two three " * 15) for k in range(600)], "doc_id long, text string").repartition(3)
+    scores = [r.score for r in lm_score.score(docs, lm_score.Settings(sample_documents=2, batch=64)).collect()]
+    assert len(scores) == 600 and max(scores) < 0 and sum(scores) / len(scores) > -10
