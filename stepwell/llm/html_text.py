@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,7 +23,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 APART = frozenset("nav header footer aside form button select option dialog menu noscript template iframe object svg canvas math audio video map head".split())
 APART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert banner popup modal overlay newsletter subscribe signup sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments commentlist respond reply replies disqus footer share sharing social related recommended toolbar skip complementary contentinfo search".split())
 APART_WORDS_OUTSIDE = frozenset("header masthead topbar login".split())
+#: A class is one of these words, or joins only these and the following with hyphens or underscores.
+AROUND_WORDS = frozenset("site page main global primary secondary top bottom left right sticky fixed mobile desktop container wrapper wrap area list box bar block item items inner outer link links button buttons form slot unit group section posts articles stories".split())
+READERS_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
 ARTICLE = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_PARAGRAPH = frozenset("br canvas noscript optgroup option select video".split())
+LISTS = frozenset("ul ol dl menu".split())
+ITEMS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -32,7 +39,7 @@ _TOKEN = re.compile(
     r"|<[a-z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^\s_-]+")
 
 
@@ -47,20 +54,36 @@ class Blocks:
     edge_words: int = 3
 
 
-def _words(attrs: str) -> set[str]:
+def _words(attrs: str, heading: bool) -> set[str]:
+    """The words of those classes, ids and roles that name an element apart; an id of a heading is its anchor."""
     out: set[str] = set()
     for m in _ATTRIBUTE.finditer(attrs):
-        out.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+        if heading and m[1].lower() == "id":
+            continue
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = set(_WORD.findall(name))
+            if words <= APART_WORDS | APART_WORDS_OUTSIDE | AROUND_WORDS:
+                out |= words
     return out
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """Each line's text, characters in links, whether it is in an element that is no running text, and whether it is
-    in the page's article."""
+    in the page's article. If all articles are in elements that only their classes set apart (but not as readers'
+    comments), those elements are not apart."""
+    around: set[int] = set()
+    out = _lines(page, frozenset(), around)
+    return _lines(page, around, set()) if around and not any(inside and not apart for _, _, apart, inside in out) else out
+
+
+def _lines(page: str, together: Set[int], around: set[int]) -> list[tuple[str, int, bool, bool]]:
+    """``lines``; elements that begin at ``together`` are not set apart by their classes. ``around`` gets the places of
+    those that are and hold an article."""
     out: list[tuple[str, int, bool, bool]] = []
     held: list[str] = []
     linked = 0
     apart, apart_depth = "", 0  # the outermost element that is no running text, and how deep its own name is nested
+    by_class, nested = -1, 0  # where that began if only its classes set it apart; lists open in it
     article = links = 0
 
     def flush() -> None:
@@ -96,8 +119,21 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             flush()
         if name == "a":
             links = max(0, links - 1) if end else links + 1
+        if apart and (
+            apart == "p" and name in BLOCK - IN_PARAGRAPH and (name != "p" or not end)
+            or apart in HEADINGS and name in HEADINGS
+            or apart in ITEMS and not nested and (name in ITEMS[apart] or end and name in LISTS)
+        ):
+            flush()
+            apart, apart_depth = "", 0
+            if end and name not in ARTICLE:
+                continue
         if apart:
-            if name == apart:
+            if name in LISTS:
+                nested = max(0, nested - 1) if end else nested + 1
+            if name in ARTICLE and not end and by_class >= 0:
+                around.add(by_class)
+            if name == apart and not (name in ITEMS and nested):
                 apart_depth += -1 if end else 1
                 if not apart_depth:
                     flush()
@@ -115,10 +151,11 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if name in VOID:
             continue
-        words = _words(m["attrs"]) if m["attrs"] and "=" in m["attrs"] else set()
-        if name in APART or (name not in ("html", "body") and (words & APART_WORDS or not article and name not in ARTICLE and words & APART_WORDS_OUTSIDE)):
+        words = _words(m["attrs"], name in HEADINGS) if m["attrs"] and "=" in m["attrs"] else set()
+        if name in APART or (name not in ("html", "body") and name not in ARTICLE and m.start() not in together and (words & APART_WORDS or not article and words & APART_WORDS_OUTSIDE)):
             flush()
-            apart, apart_depth = name, 1
+            apart, apart_depth, nested = name, 1, 0
+            by_class = -1 if name in APART or words & READERS_WORDS else m.start()
         elif name in ARTICLE:
             article += 1
     if at < len(page):

@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("stepwell.llm")
 
-from stepwell.llm import lm_score, near_duplicates
+from stepwell.llm import html_text, lm_score, near_duplicates
 
 
 def test_keep_one_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
@@ -38,3 +38,19 @@ def test_lm_score_learns_from_all_training_documents(spark):
     docs = spark.createDataFrame([(k, "red blue " * 20 if k % 2 else "one two three " * 15) for k in range(600)], "doc_id long, text string").repartition(3)
     scores = [r.score for r in lm_score.score(docs, lm_score.Settings(sample_documents=2, batch=64)).collect()]
     assert len(scores) == 600 and max(scores) < 0 and sum(scores) / len(scores) > -10
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='layout has-sidebar'><article><p>A text.</article></div>", "A text."),
+        ("<article class='post no-comments'><p>A text.</article>", "A text."),
+        ("<main id='page-with-sidebar'><p>A text.</main>", "A text."),
+        ("<article><h2 id='share-prices'>One</h2><h2 id=related>Two</h2><section id='related-work'><p>Three</section><p class='alert-text'>Four</article>", "One Two Three Four"),
+        ("<article><p class=ad>Buy<br>it<p>One<ul><li class=ad>Buy<ul><li>Buy</ul><li>Two</ul><p>Three<p class=ad>Buy</article>", "One Two Three"),
+        ("<div class=sidebar><article>A text.</article></div>", "A text."),
+        ("<article>A text.<div class='comments'><article>Nice</article></div><div class='cookie-banner site-footer'>No</div></article>", "A text."),
+    ],
+)
+def test_main_text_with_class_words_in_part(page, text):
+    assert html_text.main_text(page) == text
