@@ -27,6 +27,8 @@ APART_WORDS_OUTSIDE = frozenset("header masthead topbar login".split())
 AROUND_WORDS = frozenset("site page main global primary secondary top bottom left right sticky fixed mobile desktop container wrapper wrap area list box bar block item items inner outer link links button buttons form slot unit group section posts articles stories".split())
 READERS_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
 ARTICLE = frozenset(["article", "main"])
+#: Elements whose blocks belong together; a line in one directly has it as its own.
+HOLDERS = frozenset("article aside blockquote center dd details dialog div dl fieldset figure footer form header hgroup li main menu nav ol section table td th ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_PARAGRAPH = frozenset("br canvas noscript optgroup option select video".split())
 LISTS = frozenset("ul ol dl menu".split())
@@ -46,11 +48,13 @@ _WORD = re.compile(r"[^\s_-]+")
 @dataclass(frozen=True)
 class Blocks:
     window: int = 3
-    #: Characters that a window must hold to be a surge on a page that names no article.
+    #: Characters that a window must hold to be a surge on a page that names no article; where no window holds twice as
+    #: many, half of what the fullest one does.
     surge: int = 86
     #: A line with this share of its characters in links has no weight there.
     link_share: float = 0.6
-    #: There, lines of fewer words at either end of a stretch of text have none: a window reaches beyond the text.
+    #: There, lines of fewer words at either end of a stretch of text have none, as a window reaches beyond the text,
+    #: unless they are in the element that holds the next line of the stretch, or the stretch has no longer ones.
     edge_words: int = 3
 
 
@@ -67,31 +71,32 @@ def _words(attrs: str, heading: bool) -> set[str]:
     return out
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+def lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
     """Each line's text, characters in links, whether it is in an element that is no running text, and whether it is
-    in the page's article. If all articles are in elements that only their classes set apart (but not as readers'
+    in the page's article, and the element that holds its block. If all articles are in elements that only their classes set apart (but not as readers'
     comments), those elements are not apart."""
     around: set[int] = set()
     out = _lines(page, frozenset(), around)
-    return _lines(page, around, set()) if around and not any(inside and not apart for _, _, apart, inside in out) else out
+    return _lines(page, around, set()) if around and not any(inside and not apart for _, _, apart, inside, _ in out) else out
 
 
-def _lines(page: str, together: Set[int], around: set[int]) -> list[tuple[str, int, bool, bool]]:
+def _lines(page: str, together: Set[int], around: set[int]) -> list[tuple[str, int, bool, bool, int]]:
     """``lines``; elements that begin at ``together`` are not set apart by their classes. ``around`` gets the places of
     those that are and hold an article."""
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, bool, bool, int]] = []
     held: list[str] = []
     linked = 0
     apart, apart_depth = "", 0  # the outermost element that is no running text, and how deep its own name is nested
     by_class, nested = -1, 0  # where that began if only its classes set it apart; lists open in it
     article = links = 0
+    holders = [("", 0)]  # names and places of the open elements that hold blocks
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((text, linked, bool(apart), article > 0))
+                out.append((text, linked, bool(apart), article > 0, holders[-1][1]))
             held.clear()
         linked = 0
 
@@ -117,6 +122,12 @@ def _lines(page: str, together: Set[int], around: set[int]) -> list[tuple[str, i
         end = bool(m["end"])
         if name in BLOCK or name in APART:
             flush()
+        if name in HOLDERS:
+            if not end:
+                holders.append((name, at))
+            elif any(name == x for x, _ in holders):
+                while holders.pop()[0] != name:
+                    pass
         if name == "a":
             links = max(0, links - 1) if end else links + 1
         if apart and (
@@ -167,28 +178,41 @@ def _lines(page: str, together: Set[int], around: set[int]) -> list[tuple[str, i
 def main_text(page: str | None, blocks: Blocks = Blocks()) -> str:
     """The text of the page's main lines, joined by one space; "" for null, for no text and for no surge."""
     rows = lines(page or "")
-    named = any(inside and not apart for _, _, apart, inside in rows)
-    weights = [0 if apart or named and not inside or not named and linked > blocks.link_share * len(text) else len(text) for text, linked, apart, inside in rows]
-    threshold, n, kept = 0 if named else blocks.surge, len(rows), []
-    stretch: list[str] = []
-    total = sum(weights[: blocks.window])  # of the window that starts at i
+    named = any(inside and not apart for _, _, apart, inside, _ in rows)
+    weights = [0 if apart or named and not inside or not named and linked > blocks.link_share * len(text) else len(text) for text, linked, apart, inside, _ in rows]
+    n, kept = len(rows), []
+    sums, total = [], sum(weights[: blocks.window])  # of the window that starts at i
+    for i in range(n):
+        sums.append(total)
+        total += (weights[i + blocks.window] if i + blocks.window < n else 0) - weights[i]
+    threshold = 0 if named else min(blocks.surge, max(sums, default=0) / 2)
+    stretch: list[int] = []
     inside = False
     for i in range(n):
-        if not inside and total > threshold and weights[i]:
+        if not inside and sums[i] > threshold and weights[i]:
             inside = True
-        elif inside and not total:
+        elif inside and not sums[i]:
             inside = False
-            kept += _trimmed(stretch, 0 if named else blocks.edge_words)
+            kept += stretch if named else _trimmed(stretch, rows, weights, blocks.edge_words)
             stretch = []
         if inside and weights[i]:
-            stretch.append(rows[i][0])
-        total += (weights[i + blocks.window] if i + blocks.window < n else 0) - weights[i]
-    return " ".join(kept + _trimmed(stretch, 0 if named else blocks.edge_words))
-
-
-def _trimmed(stretch: list[str], words: int) -> list[str]:
-    long = [k for k, text in enumerate(stretch) if len(text.split()) >= words]
-    return stretch[long[0] : long[-1] + 1] if long else []
+            stretch.append(i)
+    kept += stretch if named else _trimmed(stretch, rows, weights, blocks.edge_words)
+    return " ".join(rows[i][0] for i in kept)
+
+
+def _trimmed(stretch: list[int], rows: list[tuple[str, int, bool, bool, int]], weights: list[int], words: int) -> list[int]:
+    """The lines from the first to the last of so many words (all, if there is none), and the lines of weight next to
+    them in the same element."""
+    long = [i for i in stretch if len(rows[i][0].split()) >= words] or stretch
+    if not long:
+        return []
+    first, last = long[0], long[-1]
+    while first and weights[first - 1] and rows[first - 1][4] == rows[first][4]:
+        first -= 1
+    while last + 1 < len(rows) and weights[last + 1] and rows[last + 1][4] == rows[last][4]:
+        last += 1
+    return [i for i in range(first, last + 1) if weights[i]]
 
 
 def extract(pages: DataFrame, blocks: Blocks = Blocks(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

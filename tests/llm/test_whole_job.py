@@ -54,3 +54,16 @@ def test_lm_score_learns_from_all_training_documents(spark):
 )
 def test_main_text_with_class_words_in_part(page, text):
     assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<ul><li>Home<li>Log in</ul><div><h1>Title</h1><p>{long}<p>{long}<p>The end</div><footer>No</footer><div>2020</div>", "Title {long} {long} The end"),
+        ("<div><p>A short article is one, too.</div>", "A short article is one, too."),
+        ("<div><p>Two words</div>", "Two words"),
+    ],
+)
+def test_main_text_without_article_keeps_short_lines(page, text):
+    long = "Many words are in this long line of text, which goes on for a while so that it is a surge."
+    assert html_text.main_text(page.replace("{long}", long)) == text.replace("{long}", long)
