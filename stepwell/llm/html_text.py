@@ -4,7 +4,8 @@ Markup is stripped to lines, one for each block element, and each line gets a we
 element that is no running text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments by
 readers) and, where the page names its article, outside that. Weights are summed over a sliding window of lines. A
 surge is where the sum rises above a threshold, a dive where it falls to 0; the lines of weight between a surge and
-the next dive are the text. Where the page names its article the threshold is 0, so that a short article is kept whole.
+the next dive are the text. Where the page names its article the threshold is 0, and the text is all lines of weight:
+such a page is cut by tag, and the distribution decides on the others only.
 """
 
 from __future__ import annotations
