@@ -187,6 +187,14 @@ def packed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.pack(docs, 20_000).drop("session_id")
 
 
+@query(None)
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packed_calls`` is held to its SQL, which packs the documents below id 200. This packs every turn of every
+    conversation, a conversation being a session; a null text has no characters. Held against a loop in the tests."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("position"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    return passes.pack(turns, 1000)
+
+
 @query(None)
 def narration_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held against a loop in the tests."""
