@@ -1,10 +1,10 @@
 """Token ids in binary files: frequency-ranked ids in byte-aligned variable-length coding.
 
-Texts are encoded once and the ids kept in a table of the shared folder. Ids are counted over all documents and get
-ranks, most frequent first (ties by id), so that frequent ids take one byte. The encoded documents are dealt by ranges
-of their id and sorted, and each task streams its documents to one shard file, block by block. A shard is named after
-its range and the attempt that wrote it, and only the file that a finished attempt reported is read, so a task that
-runs again leaves no doubt.
+Texts are encoded once and the ids kept in a table of the shared folder, beside each task's counts of its ids. These are
+added up over all documents and ids get ranks, most frequent first (ties by id), so that frequent ids take one byte.
+The encoded documents are dealt by ranges of their id and sorted, and each task streams its documents to one shard
+file, block by block. A shard is named after its range and the attempt that wrote it, and only the file that a finished
+attempt reported is read, so a task that runs again leaves no doubt.
 
 A file is a run of blocks. A block is a header of four little-endian unsigned 32-bit integers (magic, documents, ids,
 data bytes), then the document ids (signed 64-bit), a byte for each that is 1 for a null id, the number of ids of each
@@ -19,6 +19,7 @@ import re
 import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ from . import files
 
 MAGIC = 0x31565342
 END_ID = 2
+#: Words that a worker remembers before it starts anew; about 110 MB.
 CACHE_WORDS = 500_000
 
 
@@ -104,8 +106,22 @@ def _word_splitter(last: int) -> re.Pattern:
     return re.compile(f"[{letters}]+|{B.CONTRACTIONS}|[{numbers}]|[^{B.WHITE_SPACE}{letters}{numbers}]+")
 
 
+class _Remembered(dict):
+    """What was made of words. Looking up a new one makes it; at ``most`` words it starts anew."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out = self.make(word)
+        return out
+
+
 class WordEncoder:
-    """Whole texts to ids as the tokenizer library gives them, each distinct pre-token encoded by its model once.
+    """Whole texts to ids as the tokenizer library gives them; the ids of pre-tokens are remembered.
 
     It knows vocabularies whose normaliser is NFC, white space to a space, lower case. Texts with special strings, and
     those whose lower-cased form is no NFC text, go to the library whole.
@@ -119,38 +135,37 @@ class WordEncoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.stand_in = {b: c for c, b in B.byte_chars().items()}
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.size = max(self.library.get_vocab_size(), 1 + max(self.library.get_vocab().values()))
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.model = self.library.model.tokenize
+        self.words = _Remembered(self._word_ids, CACHE_WORDS)
+
+    def _word_ids(self, word: str) -> bytes:
+        shown = word if word.isascii() and word.isprintable() else "".join(map(self.stand_in.__getitem__, word.encode()))
+        return array("H" if self.kind.itemsize == 2 else "I", [t.id for t in self.model(shown)]).tobytes()
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def _pieces(self, text: str) -> list[str]:
+        astral = not text.isascii() and len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+        return _word_splitter(sys.maxunicode if astral else 0xFFFF).findall(text)
+
+    def _normalised(self, text: str) -> str | None:
+        """The text as the normaliser leaves it but for white space; None if the library has to do it."""
         if any(s in text for s in self.special):
             return None
+        if text.isascii():
+            return text.lower()
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # The library lowers each character by itself, so a final sigma is like any other.
         text = text.replace("Σ", "σ").lower()
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            return None
-        astral = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
-        return _word_splitter(sys.maxunicode if astral else 0xFFFF).findall(text)
+        return text if text.isascii() or unicodedata.is_normalized("NFC", text) else None
 
-    def _learn(self, new: list[str]) -> None:
-        model, kind, stand_in = self.library.model.tokenize, self.kind, self.stand_in.__getitem__
-        for word in new:
-            shown = word if word.isascii() and word.isprintable() else "".join(map(stand_in, word.encode()))
-            self.cache[word] = np.array([t.id for t in model(shown)], kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned integers of ``kind``."""
-        split = [self._pieces(t) for t in texts]
-        words = set().union(*(p for p in split if p is not None))
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
-        self._learn(new)
-        ids = self.cache.__getitem__
-        return [b"".join(map(ids, p)) if p is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for p, t in zip(split, texts, strict=True)]
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned integers of ``kind``."""
+        plain = self._normalised(text)
+        if plain is None:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.words.__getitem__, self._pieces(plain)))
 
 
 @functools.cache
@@ -164,40 +179,52 @@ def id_kind(path: str) -> np.dtype:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids`` of every row (binary: little-endian, unsigned, of ``id_kind``); null text: the end id alone."""
+    """``doc_id`` and ``ids`` of every row (binary: little-endian, unsigned, of ``id_kind``); null text: the end id alone.
+    Beside them each task gives a row whose ``counts`` (binary: little-endian signed 64-bit) tell how often it gave each
+    id; it is null elsewhere, and in that row the others are. An empty table gives no row."""
     tail = b"" if end_id is None else np.array([end_id], id_kind(path)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
+        kind, counts, any_row = encoder.kind, np.zeros(encoder.size, np.int64), False
+        if end_id is not None and end_id >= encoder.size:
+            raise ValueError(f"the end id {end_id} is beyond the vocabulary")
+
+        def rows(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+            held = pa.array(ids, pa.binary())
+            np.add(counts, np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(counts)), out=counts)
+            return pa.RecordBatch.from_arrays([doc_ids, held, pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "counts"])
+
         for batch in batches:
-            ids: list[bytes] = []
-            for texts in B.chunks(batch.column(1).to_pylist()):
-                ids += [x + tail for x in encoder.encode(texts)]
-                if sum(map(len, ids)) > 32_000_000:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[: len(ids)], pa.array(ids, pa.binary())], ["doc_id", "ids"])
-                    batch, ids = batch.slice(len(ids)), []
-            yield pa.RecordBatch.from_arrays([batch.column(0)[: len(ids)], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids, size, start = [], 0, 0
+            for text in batch.column(1):
+                ids.append(encoder.encode(text.as_py() or "") + tail)
+                size += len(ids[-1])
+                if size > 16_000_000:
+                    yield rows(batch.column(0).slice(start, len(ids)), ids)
+                    ids, size, start = [], 0, start + len(ids)
+            any_row = any_row or batch.num_rows > 0
+            yield rows(batch.column(0).slice(start, len(ids)), ids)
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def id_counts(rows: DataFrame, kind: np.dtype) -> DataFrame:
-    """``id`` and ``n`` over all ``ids``; each task adds up first, so what is shuffled is bounded by the vocabulary."""
+def id_counts(rows: DataFrame) -> DataFrame:
+    """``id`` and ``n`` over the ``counts`` of ``encoded``; each task adds up first, so what is shuffled is bounded by the
+    vocabulary."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+            for counts in batch.column(0):
+                n = np.frombuffer(counts.as_buffer(), "<i8")
+                total = total + n if len(total) else n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    return rows.select("ids").mapInArrow(add_up, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.where("counts IS NOT NULL").select("counts").mapInArrow(add_up, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # -- files
@@ -228,8 +255,9 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
     folder = files.run_folder(spark, "tokens", folder)
     kind = id_kind(path)
     encoded(docs, path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(f"{folder}/encoded")
-    rows = spark.read.parquet(f"{folder}/encoded")
-    counted = sorted(((r.n, r.id) for r in id_counts(rows, kind).collect()), key=lambda x: (-x[0], x[1]))  # bounded by the vocabulary
+    table = spark.read.parquet(f"{folder}/encoded")
+    rows = table.where("ids IS NOT NULL").select("doc_id", "ids")
+    counted = sorted(((r.n, r.id) for r in id_counts(table).collect()), key=lambda x: (-x[0], x[1]))  # bounded by the vocabulary
     by_rank = np.array([i for _, i in counted], "<u4")
     fs, at = files.create(f"{folder}/ranks.bin")
     with fs.open_output_stream(at) as out:
@@ -267,17 +295,19 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
 
 def read(spark: SparkSession, token_files: TokenFiles, with_ids: bool = True) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers) and, if
-    asked for, ``ids`` of every document, decoded from the files; a task reads a shard, block by block."""
-    held, folder = token_files.shards, token_files.folder
+    asked for, ``ids`` of every document, decoded from the files; a task reads shards, block by block. Repeated rows and
+    null ids come as they were written; no shard gives no row."""
+    folder = token_files.folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = files.locate(f"{folder}/ranks.bin")
-        with fs.open_input_file(at) as f:
-            by_rank = np.frombuffer(f.read(), "<u4")
+        by_rank = None
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                start = held[k].start
-                fs, at = files.locate(held[k].path)
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if by_rank is None:
+                    fs, at = files.locate(f"{folder}/ranks.bin")
+                    with fs.open_input_file(at) as f:
+                        by_rank = np.frombuffer(f.read(), "<u4")
+                fs, at = files.locate(path)
                 with fs.open_input_stream(at) as source:
                     for doc_ids, counts, ranks in read_blocks(source):
                         ids, ends = by_rank[ranks], np.cumsum(counts)
@@ -288,4 +318,5 @@ def read(spark: SparkSession, token_files: TokenFiles, with_ids: bool = True) ->
                         start += len(ids)
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return spark.range(0, len(held), 1, max(1, len(held))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    shards = [(x.path, x.start) for x in token_files.shards]
+    return spark.createDataFrame(shards, "path string, start long").repartition(max(1, len(shards))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
