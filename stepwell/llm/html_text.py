@@ -1,11 +1,13 @@
 """Main text of a page by line-block distribution.
 
-Markup is stripped to lines, one for each block element, and each line gets a weight: its text length, or 0 inside an
+Markup is stripped to lines, one for each block element, and each line gets a weight: its text length, but 0 inside an
 element that is no running text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments by
-readers) and, where the page names its article, outside that. Weights are summed over a sliding window of lines. A
-surge is where the sum rises above a threshold, a dive where it falls to 0; the lines of weight between a surge and
-the next dive are the text. Where the page names its article the threshold is 0, and the text is all lines of weight:
-such a page is cut by tag, and the distribution decides on the others only.
+readers) and for a line that is mostly links, and a share of it outside the article on a page that names one. Weights
+are summed over a sliding window of lines. A surge is where the sum rises above a threshold, a dive where it falls to 0;
+the text lies between a surge and the next dive. As a window reaches over the edges of the text, short lines at either
+end of such a stretch go; as it is blunt to what is short, the element that holds the edge is then completed: lines next
+to it in the same element, and all lines of an article that the stretch touches. An article without a surge (a teaser)
+is no text.
 """
 
 from __future__ import annotations
@@ -49,13 +51,15 @@ _WORD = re.compile(r"[^\s_-]+")
 @dataclass(frozen=True)
 class Blocks:
     window: int = 3
-    #: Characters that a window must hold to be a surge on a page that names no article; where no window holds twice as
-    #: many, half of what the fullest one does.
+    #: Characters that a window must hold to be a surge; where no window holds twice as many, half of what the fullest
+    #: one does.
     surge: int = 86
-    #: A line with this share of its characters in links has no weight there.
+    #: A line with this share of its characters in links has no weight, but in a named article.
     link_share: float = 0.6
-    #: There, lines of fewer words at either end of a stretch of text have none, as a window reaches beyond the text,
-    #: unless they are in the element that holds the next line of the stretch, or the stretch has no longer ones.
+    #: What a line outside the articles weighs on a page that names one, as a share of its length.
+    outside: float = 0.1
+    #: Lines of fewer words at either end of a stretch go, if it has longer ones; outside the articles of a page that names
+    #: one, words count by the share above and such lines go within a stretch, too.
     edge_words: int = 3
 
 
@@ -72,24 +76,28 @@ def _words(attrs: str, heading: bool) -> set[str]:
     return out
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
-    """Each line's text, characters in links, whether it is in an element that is no running text, and whether it is
-    in the page's article, and the element that holds its block. If all articles are in elements that only their classes set apart (but not as readers'
-    comments), those elements are not apart."""
+Line = tuple[str, int, bool, int, int]
+
+
+def lines(page: str) -> list[Line]:
+    """Each line's text, characters in links, whether it is in an element that is no running text, the outermost article
+    that it is in (0: none), and the element that holds its block. If all articles are in elements that only their
+    classes set apart (but not as readers' comments), those elements are not apart."""
     around: set[int] = set()
     out = _lines(page, frozenset(), around)
     return _lines(page, around, set()) if around and not any(inside and not apart for _, _, apart, inside, _ in out) else out
 
 
-def _lines(page: str, together: Set[int], around: set[int]) -> list[tuple[str, int, bool, bool, int]]:
+def _lines(page: str, together: Set[int], around: set[int]) -> list[Line]:
     """``lines``; elements that begin at ``together`` are not set apart by their classes. ``around`` gets the places of
     those that are and hold an article."""
-    out: list[tuple[str, int, bool, bool, int]] = []
+    out: list[Line] = []
     held: list[str] = []
     linked = 0
     apart, apart_depth = "", 0  # the outermost element that is no running text, and how deep its own name is nested
     by_class, nested = -1, 0  # where that began if only its classes set it apart; lists open in it
     article = links = 0
+    region = 0  # where the outermost open article begins
     holders = [("", 0)]  # names and places of the open elements that hold blocks
 
     def flush() -> None:
@@ -97,7 +105,7 @@ def _lines(page: str, together: Set[int], around: set[int]) -> list[tuple[str, i
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((text, linked, bool(apart), article > 0, holders[-1][1]))
+                out.append((text, linked, bool(apart), region if article else 0, holders[-1][1]))
             held.clear()
         linked = 0
 
@@ -170,6 +178,8 @@ def _lines(page: str, together: Set[int], around: set[int]) -> list[tuple[str, i
             by_class = -1 if name in APART or words & READERS_WORDS else m.start()
         elif name in ARTICLE:
             article += 1
+            if article == 1:
+                region = m.end()
     if at < len(page):
         add(page[at:])
     flush()
@@ -179,41 +189,35 @@ def _lines(page: str, together: Set[int], around: set[int]) -> list[tuple[str, i
 def main_text(page: str | None, blocks: Blocks = Blocks()) -> str:
     """The text of the page's main lines, joined by one space; "" for null, for no text and for no surge."""
     rows = lines(page or "")
-    named = any(inside and not apart for _, _, apart, inside, _ in rows)
-    weights = [0 if apart or named and not inside or not named and linked > blocks.link_share * len(text) else len(text) for text, linked, apart, inside, _ in rows]
-    n, kept = len(rows), []
-    sums, total = [], sum(weights[: blocks.window])  # of the window that starts at i
-    for i in range(n):
-        sums.append(total)
-        total += (weights[i + blocks.window] if i + blocks.window < n else 0) - weights[i]
-    threshold = 0 if named else min(blocks.surge, max(sums, default=0) / 2)
-    stretch: list[int] = []
-    inside = False
-    for i in range(n):
-        if not inside and sums[i] > threshold and weights[i]:
-            inside = True
-        elif inside and not sums[i]:
-            inside = False
-            kept += stretch if named else _trimmed(stretch, rows, weights, blocks.edge_words)
-            stretch = []
-        if inside and weights[i]:
-            stretch.append(i)
-    kept += stretch if named else _trimmed(stretch, rows, weights, blocks.edge_words)
-    return " ".join(rows[i][0] for i in kept)
-
-
-def _trimmed(stretch: list[int], rows: list[tuple[str, int, bool, bool, int]], weights: list[int], words: int) -> list[int]:
-    """The lines from the first to the last of so many words (all, if there is none), and the lines of weight next to
-    them in the same element."""
-    long = [i for i in stretch if len(rows[i][0].split()) >= words] or stretch
-    if not long:
-        return []
-    first, last = long[0], long[-1]
+    named = any(region and not apart for _, _, apart, region, _ in rows)
+    # What a line counts: all of it, or outside a named article a share.
+    share = [1.0 if region or not named else blocks.outside for _, _, _, region, _ in rows]
+    weights = [0.0 if apart or not (named and region) and linked > blocks.link_share * len(text) else len(text) * part for (text, linked, apart, region, _), part in zip(rows, share, strict=True)]
+    long = [len(text.split()) * part >= blocks.edge_words for (text, *_), part in zip(rows, share, strict=True)]
+    sums = [sum(weights[i : i + blocks.window]) for i in range(len(rows))]
+    threshold = min(blocks.surge, max(sums, default=0) / 2)
+    kept: set[int] = set()
+    start = None
+    for i, total in enumerate([*sums, 0.0]):
+        if start is None and total > threshold and weights[i]:
+            start = i
+        elif start is not None and not total:
+            kept.update(_completed(range(start, i), rows, weights, long))
+            start = None
+    regions = {rows[i][3] for i in kept} - {0}
+    return " ".join(text for i, (text, _, _, region, _) in enumerate(rows) if weights[i] and (region in regions or i in kept and (long[i] or not named)))
+
+
+def _completed(stretch: range, rows: list[Line], weights: list[float], long: list[bool]) -> range:
+    """From the first to the last long line of a stretch (all of it, if there is none), and on to the lines of weight next
+    to those in the same element."""
+    found = [i for i in stretch if weights[i] and long[i]] or [i for i in stretch if weights[i]]
+    first, last = found[0], found[-1]
     while first and weights[first - 1] and rows[first - 1][4] == rows[first][4]:
         first -= 1
     while last + 1 < len(rows) and weights[last + 1] and rows[last + 1][4] == rows[last][4]:
         last += 1
-    return [i for i in range(first, last + 1) if weights[i]]
+    return range(first, last + 1)
 
 
 def extract(pages: DataFrame, blocks: Blocks = Blocks(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
