@@ -15,6 +15,18 @@ def run_folder(spark: SparkSession, kind: str, folder: str | None = None) -> str
     return f"{(folder or shared_folder(spark)).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that differ from those taken, whatever the case of letters."""
+    held = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def locate(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
 

@@ -170,9 +170,16 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 0])
-def test_decontamination(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+@pytest.fixture(params=["10MB", "-1"])
+def broadcasting(spark, request):
+    """Small tables are broadcast, or none is."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_decontamination(spark, broadcasting):
     rng = random.Random(2)
     word = lambda: rng.choice(["The", "of", "ha", "ha", "É", "é", "x1", "tion", "ed"])
     passage = lambda n: " ".join(word() for _ in range(n))
@@ -180,13 +187,38 @@ def test_decontamination(spark, monkeypatch, limit):
     items.append((7, items[0][1]))
     texts = [passage(rng.randrange(0, 60)) for _ in range(20)] + [passage(5) + ", " + items[0][1][k:] + " " + passage(3) for k in range(0, 60, 9)] + [None, "", "ha " * 40, "SOLO!", items[1][1], "ha"]
     texts += [texts[-1]]
-    docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)] + [(3, texts[3], "a", "b"), (None, items[0][1], "a", "b")], "doc_id long, text string, n_words string, words string")
+    docs = spark.createDataFrame([(i, t, "clash", "clash", 1, 2, 3) for i, t in enumerate(texts)] + [(3, texts[3], "a", "b", 1, 2, 3), (None, items[0][1], "a", "b", 1, 2, 3)], "doc_id long, text string, n_words string, words string, _bad_id int, bad_id int, key int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = [(i, *brute_hits(t, items)) for i, t in [*enumerate(texts), (3, texts[3]), (None, items[0][1])]]
     assert collected(decontaminate.contamination(docs, bench)) == sorted(want, key=repr)
     assert collected(decontaminate.without_contaminated(docs, bench).select("doc_id")) == sorted(((w[0],) for w in want if not w[-1]), key=repr)
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated OR n_items > 0").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+    assert decontaminate.without_contaminated(docs, bench).columns == docs.columns
+    assert decontaminate.without_contaminated(docs.limit(0), bench).count() == 0
+    assert decontaminate.without_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_decontamination_of_very_long_texts(spark, broadcasting):
+    """200,000 words, a passage at either end and all windows of another item throughout; items of all ten lengths."""
+    rng = random.Random(7)
+    word = lambda: "w%d" % rng.randrange(50_000)
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(1, 11)] + [(50, " ".join(word() for _ in range(30))), (60, "ha " * 12)]
+    middle = [word() for _ in range(200_000)]
+    long = " ".join([items[10][1], *middle, items[9][1]])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, long), (2, "ha " * 100_000), (3, "nothing of it"), (4, long)], "doc_id long, text string").repartition(2)
+    want = sorted((i, *brute_hits(t, items)) for i, t in [(1, long), (2, "ha " * 100_000), (3, "nothing of it"), (4, long)])
+    assert collected(decontaminate.contamination(docs, bench)) == want
+
+
+def test_decontamination_reads_documents_twice_at_most(spark, tmp_path):
+    items = spark.createDataFrame([(n, " ".join(f"w{k}" for k in range(n))) for n in range(1, 13)], "item_id long, text string")
+    spark.createDataFrame([(1, "w0 w1 w2 w3")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    plan = decontaminate.matches(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text#") and plan.count("Relation [doc_id") <= 1  # the other read has been written out as hits
+    assert decontaminate.contamination(docs, items).first().n_hit == 4
 
 
 @pytest.mark.parametrize("block", [4, 512])
