@@ -67,11 +67,6 @@ def _items(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     return rows.where("n_words > 0").withColumn("length", F.least(F.lit(window), F.col("n_words")))
 
 
-def _stored(rows: DataFrame, folder: str) -> DataFrame:
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
-
-
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K, folder: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: its id, ``text_key`` (a hash of its text), ``n_words``, ``n_hit`` (words inside
     any occurrence of an item's window), ``spans`` (first and behind-last word of each occurrence) and ``items`` (ids,
@@ -85,14 +80,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     test = _items(items, item_id_col, item_text_col, window)
     lengths = sorted(r.length for r in test.select("length").distinct().collect())  # ``window`` at most
     parts = [_exploded(test.where(F.col("length") == n).select("n_words", "words"), [n], k, False).select("length", "h") for n in lengths]
-    hashes = _stored(_union(parts, docs.sparkSession, "length int, h int").distinct(), f"{folder}/hashes")
+    hashes = files.stored(_union(parts, docs.sparkSession, "length int, h int").distinct(), f"{folder}/hashes")
     starts = F.sequence(F.lit(0), F.col("n_words") - F.col("length"))
-    windows = _stored(test.select("item", F.explode_outer(F.transform(starts, lambda s: _span_text(s, F.col("length")))).alias("span_text")).groupBy("span_text").agg(F.collect_set("item").alias("items")), f"{folder}/windows")
+    windows = files.stored(test.select("item", F.explode_outer(F.transform(starts, lambda s: _span_text(s, F.col("length")))).alias("span_text")).groupBy("span_text").agg(F.collect_set("item").alias("items")), f"{folder}/windows")
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), words(F.col(text_col)).alias("words")).withColumn("n_words", F.size("words"))
     met = _exploded(rows, lengths, k, True).join(hashes.withColumn("found", F.lit(True)), ["length", "h"], "left").where("found OR length = 0")
-    hits = _stored(met.select("id", "text_key", "n_words", "length", "at"), f"{folder}/hits")
+    hits = files.stored(met.select("id", "text_key", "n_words", "length", "at"), f"{folder}/hits")
 
     places = hits.where("length > 0").groupBy("id", "text_key").agg(F.collect_set(F.struct("length", "at")).alias("places")).select(F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key"), "places")
     # One text for an id and a text key; its words are taken only after the join.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
 
@@ -36,3 +36,16 @@ def create(uri: str) -> tuple[pafs.FileSystem, str]:
     fs, path = locate(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     return fs, path
+
+
+def remove(uri: str) -> None:
+    """Delete a folder that this run has written and no longer reads."""
+    fs, path = locate(uri)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
+
+
+def stored(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` as a written table: its true size is known, and a lost executor does not compute it again."""
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

@@ -2,9 +2,10 @@
 
 Documents are sets of word n-grams. Copies of a text (equal 64-bit hash) are one node. Nodes that agree in a band of
 MinHash values are candidates; bands are chosen so that a pair at the threshold is missed with a probability of
-5e-6. Nodes connected by candidates form a block, and a block's texts meet once: a block of up to ``block`` nodes in
-one group, a larger one as chunks, of which every two meet in a group, so no group grows with the block. In a group the
-MinHash values of candidate pairs are compared step by step, pairs whose posterior probability of reaching the
+5e-6. Nodes connected by candidates form a block, and a block's nodes meet once: a block of up to ``block`` nodes and
+``block_bytes`` of text in one group, a larger one as chunks, of which every two meet in a group, so no group grows with
+the block. N-grams and MinHash values are made of a text once, before they are dealt to its groups. In a group the MinHash
+values of candidate pairs are compared step by step, pairs whose posterior probability of reaching the
 threshold (uniform prior) is below ``tolerance`` are dropped, and the rest are verified on their n-gram sets. A group
 returns the number of links of each node and a spanning forest of them, not the pairs.
 """
@@ -36,6 +37,7 @@ class Settings:
     step: int = 40
     tolerance: float = 1e-6
     block: int = 512
+    block_bytes: int = 8_000_000
 
     @property
     def hashes(self) -> int:
@@ -155,16 +157,14 @@ def _forest(nodes: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, i
     return [(n, root(n)) for n in nodes if root(n) != n]
 
 
-def _prepared(text: str | None, settings: Settings):
-    grams = shingles(text, settings)
-    values = min_hashes(grams, settings)
-    return grams, values, band_keys(values, settings)
-
-
-def _group_rows(c1: int, c2: int, rows: list[tuple[int, int, int, str]], settings: Settings) -> list[tuple[int, int | None, int]]:
-    """Rows are node, copies, chunk, text. Out: node, null, linked documents; or node, smaller linked node, 0."""
+def _group_rows(c1: int, c2: int, rows: list[tuple[int, int, int, bytes, bytes]], settings: Settings) -> list[tuple[int, int | None, int]]:
+    """Rows are node, copies, chunk, n-grams, MinHash values. Out: node, null, linked documents; or node, smaller linked
+    node, 0."""
     rows = list({r[0]: r for r in rows}.values())
-    known = [_prepared(r[3], settings) for r in rows]
+    known = []
+    for r in rows:
+        values = np.frombuffer(r[4], np.uint32)
+        known.append((np.frombuffer(r[3], np.uint64), values, band_keys(values, settings)))
     if c1 == c2:
         left = right = list(range(len(rows)))
         found = linked(known, None, settings)
@@ -212,15 +212,28 @@ def _classes(docs: DataFrame, settings: Settings, folder: str | None, id_col: st
     # Copies of a text are reduced to one before bands are exploded; the first of equal rows is the same row.
     base.select("key", "text").mapInArrow(banded, "key long, bands array<long>").groupBy("key").agg(F.first("bands").alias("bands")).write.parquet(f"{folder}/bands")
     bands = spark.read.parquet(f"{folder}/bands").select("key", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
+    # Written tables where a key may be hot: the join then deals out both sides anew, and AQE can split them.
+    shared = files.stored(bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low"), f"{folder}/shared")
     blocks = components(bands.join(shared, "band").select(F.col("key").alias("a"), F.col("low").alias("b")), f"{folder}/blocks")
 
-    nodes = base.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    sizes = blocks.groupBy("label").agg(F.count("*").alias("size")).select("label", F.ceil(F.col("size") / s.block).cast("int").alias("chunks"))
-    placed = blocks.join(sizes, "label").join(nodes, F.col("node") == F.col("key")).select("key", "first_id", "copies", "label", "chunks", F.pmod(F.xxhash64("key", "label"), F.col("chunks")).cast("int").alias("chunk"))
+    nodes = base.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("bytes"))
+    in_blocks = files.stored(blocks.join(nodes, F.col("node") == F.col("key")).select("label", "key", "first_id", "copies", "bytes"), f"{folder}/in_blocks")
+    chunks = F.ceil(F.greatest(F.count("*") / s.block, F.sum("bytes") / s.block_bytes)).cast("int")
+    sizes = files.stored(in_blocks.groupBy("label").agg(chunks.alias("chunks")), f"{folder}/sizes")
+    placed = in_blocks.join(sizes, "label").select("key", "first_id", "copies", "label", "chunks", F.pmod(F.xxhash64("key", "label"), F.col("chunks")).cast("int").alias("chunk"))
     # A text is taken from one document: by key and id, so that a text with many copies is no hot key.
     texts = base.select("id", F.col("key").alias("k"), "text").join(placed, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first_id")))
-    groups = texts.select("label", "key", "copies", "chunk", "text", F.explode_outer(F.expr("transform(sequence(0, chunks - 1), c -> named_struct('c1', least(c, chunk), 'c2', greatest(c, chunk)))")).alias("g")).select("label", "g.c1", "g.c2", "key", "copies", "chunk", "text")
+
+    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                grams = [shingles(t.as_py(), s) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([min_hashes(g, s).tobytes() for g in grams], pa.binary()), *part.columns[1:]], ["grams", "minima", *rest])
+
+    rest = ["label", "key", "copies", "chunk", "chunks"]
+    known = texts.select("text", *rest).mapInArrow(prepared, "grams binary, minima binary, label long, key long, copies long, chunk int, chunks int")
+    groups = known.select("label", "key", "copies", "chunk", "grams", "minima", F.explode_outer(F.expr("transform(sequence(0, chunks - 1), c -> named_struct('c1', least(c, chunk), 'c2', greatest(c, chunk)))")).alias("g")).select("label", "g.c1", "g.c2", "key", "copies", "chunk", "grams", "minima")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, out = None, [], []
@@ -231,7 +244,7 @@ def _classes(docs: DataFrame, settings: Settings, folder: str | None, id_col: st
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=kinds)
 
         for batch in batches:
-            for label, c1, c2, *row in zip(*(batch.column(i) for i in range(7)), strict=True):
+            for label, c1, c2, *row in zip(*(batch.column(i) for i in range(8)), strict=True):
                 g = label.as_py(), c1.as_py(), c2.as_py()
                 if g != group:
                     if len(held) > 1:
@@ -251,22 +264,23 @@ def _classes(docs: DataFrame, settings: Settings, folder: str | None, id_col: st
     counts = links.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), f"{folder}/classes")
     ids = nodes.select(F.col("key").alias("node"), "first_id")
-    class_ids = classes.join(ids, "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
-    known = classes.join(class_ids, "label").select(F.col("node").alias("key"), "class_id", F.col("label").alias("class_key")).join(counts.withColumnRenamed("node", "key"), "key", "left")
-    told = nodes.join(known.withColumn("in_class", F.lit(True)), "key", "left").select("key", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    class_ids = files.stored(classes.join(ids, "node").groupBy("label").agg(F.min("first_id").alias("class_id")), f"{folder}/class_ids")
+    members = classes.join(class_ids, "label").select(F.col("node").alias("key"), "class_id", F.col("label").alias("class_key")).join(counts.withColumnRenamed("node", "key"), "key", "left")
+    told = nodes.join(members.withColumn("in_class", F.lit(True)), "key", "left").select("key", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # From a written table, so that the join deals out both sides anew and AQE can split a text of very many copies.
     told.write.parquet(f"{folder}/told")
     return base.select("id", "key").join(spark.read.parquet(f"{folder}/told"), "key").select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "class_id", "class_key", "n_links")
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings(), folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each class of ``near_duplicates`` whose id is the class's, with all columns of ``docs``: of several
-    with that id, one with the smallest text key. Texts of one id, or of null ids, that aren't linked are classes of
-    their own, and each keeps a row."""
+    """The row of each class of ``near_duplicates`` whose id is the class's, with all columns of ``docs``, whatever these
+    are called: of several with that id, one with the smallest text key. Texts of one id, or of null ids, that aren't
+    linked are classes of their own, and each keeps a row; so do null and empty texts, one for all. An empty table gives
+    no row."""
     found = _classes(docs, settings, folder, id_col, text_col)
-    folder = files.run_folder(docs.sparkSession, "kept", folder)
-    found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.first("class_id").alias("_kept_id"), F.min("text_key").alias("_kept_key"), F.count("*").alias("_rows")).drop("class_key").write.parquet(folder)
-    kept = docs.sparkSession.read.parquet(folder)
-    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key")), "left_semi")
-    return rows.withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key") if kept.where("_rows > 1").limit(1).count() else rows
+    kept_id, kept_key, key = files.unused([*docs.columns, "class_key", "class_id", "text_key", "n_links"], "kept_id", "kept_key", "key")
+    n_rows = "rows_of_class"
+    kept = files.stored(found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.first("class_id").alias(kept_id), F.min("text_key").alias(kept_key), F.count("*").alias(n_rows)).drop("class_key"), files.run_folder(docs.sparkSession, "kept", folder))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = keyed.join(kept.drop(n_rows), F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    return (rows.dropDuplicates([id_col, key]) if kept.where(F.col(n_rows) > 1).limit(1).count() else rows).drop(key)

@@ -221,10 +221,10 @@ def test_decontamination_reads_documents_twice_at_most(spark, tmp_path):
     assert decontaminate.contamination(docs, items).first().n_hit == 4
 
 
-@pytest.mark.parametrize("block", [4, 512])
-def test_jaccard_join(spark, block):
+@pytest.mark.parametrize(("block", "block_bytes"), [(4, 8_000_000), (512, 8_000_000), (512, 1500)])
+def test_jaccard_join(spark, block, block_bytes):
     rng = random.Random(4)
-    settings = near_duplicates.Settings(block=block)
+    settings = near_duplicates.Settings(block=block, block_bytes=block_bytes)
     base = [[rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(120)] for _ in range(4)]
     texts = []
     for b in base:
@@ -255,6 +255,39 @@ def test_jaccard_join(spark, block):
     kept = sorted(r.doc_id for r in near_duplicates.keep_one(docs.unionAll(docs.limit(5)), settings).collect())
     assert kept == sorted({w[1] for w in want})
     assert near_duplicates.near_duplicates(docs.limit(0), settings).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("_kept_id", "kept_id", "kept_key", "class_key", "text_key", "bytes")})
+    assert near_duplicates.keep_one(clash, settings).columns == clash.columns
+    assert sorted(r.doc_id for r in near_duplicates.keep_one(clash, settings).collect()) == kept
+    assert near_duplicates.keep_one(docs.limit(0), settings).count() == 0
+
+
+def test_jaccard_recall_near_the_threshold(spark):
+    """300 pairs of texts of 40 to 4,000 words with a similarity of 0.80 to 0.85, and as many just below: all of the first
+    are linked, none of the others."""
+    rng = random.Random(9)
+    settings = near_duplicates.Settings()
+    rows, want = [], set()
+    while len(want) < 300 or len(rows) < 1200:
+        n = rng.choice([40, 80, 150, 400, 400, 4000] if len(rows) < 40 else [40, 80, 150, 400])
+        a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        b = list(a)
+        high = len(want) < 300
+        for _ in range(n):
+            b[rng.randrange(n)] = "edit%d" % rng.randrange(10**9)
+            x, y = (set(near_duplicates.shingles(" ".join(t), settings).tolist()) for t in (a, b))
+            j = len(x & y) / len(x | y)
+            if j < 0.85:
+                break
+        if 0.8 <= j < 0.85 if high else 0.7 <= j < 0.8:
+            k = len(rows)
+            rows += [(k, " ".join(a)), (k + 1, " ".join(b))]
+            if high:
+                want.add((k, k + 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = defaultdict(list)
+    for r in near_duplicates.near_duplicates(docs, settings).collect():
+        classes[r.class_id].append(r.doc_id)
+    assert {tuple(sorted(c)) for c in classes.values() if len(c) > 1} == want
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
