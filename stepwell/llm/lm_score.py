@@ -5,14 +5,16 @@ Counting. Every task counts the words of its training documents and the counts a
 ``Settings.frequent_words`` words reach make up a table that is broadcast; most tokens are looked up there. The others
 are joined, by hash, with the counts.
 
-Model. The most frequent words, the end of a document and one class for all other words are its vocabulary. Two context
-words predict the next: score(w | u, v) = r_w . (c1 * q_u + c2 * q_v) + b_w. It is trained in numpy on all training
-documents against noise from the counts over all of them, whose logarithms the biases start from. A first model is
-trained on the driver, on a bounded sample (``Settings.sample_documents``). From there every task trains on its
-documents and the parameters are merged, weighted by tokens, ``Settings.epochs`` times; sums are of whole numbers, so
-their order does not matter. As the vocabulary is small, matrix products give the scores of all pairs and the normaliser of
-every context once, and a token's normalised log-probability is a sum of table entries. A word of the other class gets,
-besides, its share of the class by its count (0.5 is added to counts, one share is for unseen words).
+Model. Its units are the end of a document, the most frequent words, and a class for each ending of all other words (a
+hash of a word's last three bytes), so the context tells something of every word, however rare. Two context units
+predict the next: score(w | u, v) = r_w . (c1 * q_u + c2 * q_v) + b_w. It is trained in numpy against noise from the
+counts, whose logarithms the biases start from. Every task trains on its documents and the parameters are merged, weighted
+by tokens; sums are of whole numbers, so their order does not matter. A first round takes a fifth of the training
+documents (by a hash of the text), the second goes on with the others, so each document is learned from once.
+
+Scoring. Batched matrix products of the contexts of many documents with all units give the normalisers, which a worker
+remembers, within a bound, by context; the log-probabilities are normalised exactly. A word of a class gets, besides, its
+share of the class by its count (0.5 is added to counts, one share is for unseen words).
 """
 
 from __future__ import annotations
@@ -32,23 +34,26 @@ from pyspark.sql import functions as F
 from . import files
 from .language_id import training
 
-OTHER, END = 0, 1
+END = 0
 
 
 @dataclass(frozen=True)
 class Settings:
     part: int = 1
     parts: int = 5
-    #: Bound of the broadcast table of counts: 16 bytes a word.
+    #: Bound of the broadcast table of counts: 17 bytes a word.
     frequent_words: int = 200_000
-    vocabulary: int = 500
-    #: Bound, in expectation, of the sample that the first model is trained on, before all documents are.
-    sample_documents: int = 3000
+    #: Units: single words, and classes of all others.
+    words: int = 1000
+    endings: int = 1000
+    #: Per cent of the training documents that the first of the two rounds takes.
+    first_share: int = 20
     dimensions: int = 16
     noise: int = 64
-    batch: int = 1024
-    epochs: int = 2
+    batch: int = 2048
     rate: float = 0.1
+    #: Contexts whose normaliser a worker remembers.
+    contexts: int = 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -60,14 +65,20 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42) - (1 << 63)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``h`` and ``n`` of the words of the first column. A task sends each word once for every 400,000 different ones."""
+def ending(word: bytes, endings: int) -> int:
+    """The class of a word, from 0 on: by its last three bytes before closing marks."""
+    return xxhash.xxh32_intdigest(word.rstrip(b".,;:!?")[-3:]) % endings
+
+
+def word_counts(docs: DataFrame, endings: int) -> DataFrame:
+    """``h``, ``ending`` and ``n`` of the words of the first column. A task sends each word once for every 400,000
+    different ones."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["h", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in counts], pa.int64()), pa.array([ending(w, endings) for w in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["h", "ending", "n"])
             counts.clear()
             return out
 
@@ -78,7 +89,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield rows()
         yield rows()
 
-    return docs.mapInArrow(add_up, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(add_up, "h long, ending int, n long").groupBy("h").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"))
 
 
 def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,96 +100,97 @@ def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, v
 
 
-@dataclass
-class Tables:
-    """The normalised model as tables of natural logarithms: log p = near[u, w] + far[v, w] + bias[w] - norm[u, v]."""
-
-    near: np.ndarray
-    far: np.ndarray
-    bias: np.ndarray
-    norm: np.ndarray
-
-    def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
-        """Of each id of documents one after another."""
-        u, v = contexts(ids)
-        return self.near[u, ids] + self.far[v, ids] + self.bias[ids] - self.norm[u, v]
+def _add(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[at], np.add.reduceat(values[order], at, axis=0)
 
 
 class Learner:
     """The model in training: its parameters and the sums of squared gradients that their steps are scaled by."""
 
     def __init__(self, unigram: np.ndarray, settings: Settings) -> None:
-        """``unigram``: counts of all ids over all training documents."""
-        size, d = len(unigram), settings.dimensions
-        self.settings, self.rng = settings, np.random.default_rng(0)
-        self.p_noise = (unigram + 0.5) / (unigram + 0.5).sum()
-        self.log_noise = np.log(settings.noise * self.p_noise)
-        target, context = (self.rng.normal(0, 0.1, (size, d)) for _ in range(2))
-        self.params = [target, context, np.ones((2, d)) * [[1.0], [0.5]], np.log(self.p_noise)]
-        self.squares = [np.full_like(x, 1e-2) for x in self.params]
+        """``unigram``: counts of all units over all training documents."""
+        self.settings, self.unigram = settings, unigram
+        p = (unigram + 0.5) / (unigram + 0.5).sum()
+        rng = np.random.default_rng(0)
+        target, context = (rng.normal(0, 0.1, (len(p), settings.dimensions)).astype(np.float32) for _ in range(2))
+        places = np.ones((2, settings.dimensions), np.float32) * np.array([[1.0], [0.5]], np.float32)
+        self.params = [target, context, places, np.log(p).astype(np.float32)]
+        self.squares = [np.full_like(x, 1e-5) for x in self.params]
+        self.drawn_by = np.cumsum(p) / p.sum()
+        self.log_noise = np.log(settings.noise * p).astype(np.float32)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.params + self.squares])
+        return np.concatenate([x.ravel() for x in self.params + self.squares]).astype(np.float64)
 
     def load(self, flat: np.ndarray) -> None:
         parts = np.split(flat, np.cumsum([x.size for x in self.params + self.squares])[:-1])
-        shaped = [np.array(x).reshape(y.shape) for x, y in zip(parts, self.params + self.squares, strict=True)]
+        shaped = [np.array(x, np.float32).reshape(y.shape) for x, y in zip(parts, self.params + self.squares, strict=True)]
         self.params, self.squares = shaped[: len(self.params)], shaped[len(self.params) :]
 
-    def learn(self, w: np.ndarray) -> None:
-        """A pass, in random order, over the ids of documents one after another, each with its end."""
-        s, rng, p_noise, log_noise = self.settings, self.rng, self.p_noise, self.log_noise
-        target, context, places, bias = self.params
-        u, v = contexts(w)
-        column = np.arange(target.shape[1])
-
-        def add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-            np.add.at(to.reshape(-1), (rows[:, None] * len(column) + column).reshape(-1), values.reshape(-1))
-
-        order = rng.permutation(len(w))
-        for start in range(0, len(w), s.batch):
-            at = order[start : start + s.batch]
-            y, cu, cv = w[at], context[u[at]], context[v[at]]
+    def _step(self, which: int, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
+        param, square = self.params[which], self.squares[which]
+        square[rows] += gradient * gradient
+        param[rows] -= np.float32(self.settings.rate) * gradient / np.sqrt(square[rows])
+
+    def learn(self, units: np.ndarray, rng: np.random.Generator) -> None:
+        """A pass, in random order, over the units of documents one after another, each with its end."""
+        u, v = contexts(units)
+        order = rng.permutation(len(units))
+        for start in range(0, len(units), self.settings.batch):
+            target, context, places, bias = self.params
+            at = order[start : start + self.settings.batch]
+            y, cu, cv = units[at], context[u[at]], context[v[at]]
             q = cu * places[0] + cv * places[1]
-            drawn = rng.choice(len(bias), s.noise, p=p_noise)
-            # Logistic errors of the true words (wanted: 1) and of the noise words, shared by the batch (wanted: 0).
-            e_true = 1 / (1 + np.exp(-((q * target[y]).sum(1) + bias[y] - log_noise[y]))) - 1
-            e_noise = 1 / (1 + np.exp(-(q @ target[drawn].T + bias[drawn] - log_noise[drawn])))
+            drawn = np.minimum(np.searchsorted(self.drawn_by, rng.random(self.settings.noise)), len(bias) - 1)
+            each = np.float32(1 / len(at))
+            # Logistic errors of the true units (wanted: 1) and of the noise, shared by the batch (wanted: 0).
+            e_true = (1 / (1 + np.exp(-((q * target[y]).sum(1) + bias[y] - self.log_noise[y]))) - 1) * each
+            e_noise = 1 / (1 + np.exp(-(q @ target[drawn].T + bias[drawn] - self.log_noise[drawn]))) * each
             g_q = e_true[:, None] * target[y] + e_noise @ target[drawn]
-            g_target, g_context, g_bias = np.zeros_like(target), np.zeros_like(context), np.zeros_like(bias)
-            add(g_target, y, e_true[:, None] * q)
-            add(g_target, drawn, e_noise.T @ q)
-            np.add.at(g_bias, y, e_true)
-            np.add.at(g_bias, drawn, e_noise.sum(0))
-            add(g_context, u[at], g_q * places[0])
-            add(g_context, v[at], g_q * places[1])
-            for x, square, g in zip(self.params, self.squares, (g_target, g_context, np.stack([(g_q * cu).sum(0), (g_q * cv).sum(0)]), g_bias), strict=True):
-                g /= len(at)
-                square += g * g
-                x -= s.rate * g / np.sqrt(square)
-
-    def tables(self) -> Tables:
-        target, context, places, bias = self.params
-        size = len(bias)
-        near, far = (context * places[0]) @ target.T, (context * places[1]) @ target.T
-        norm = np.empty((size, size))
-        for i in range(size):
-            z = far + (near[i] + bias)[None, :]
-            top = z.max(axis=1)
-            norm[i] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
-        return Tables(*(x.astype(np.float32) for x in (near, far, bias, norm)))
-
-
-def trained(documents: list[np.ndarray], unigram: np.ndarray, settings: Settings) -> Learner:
-    """``documents``: ids with the end; ``unigram``: counts of all ids over all training documents."""
-    learner = Learner(unigram, settings)
-    for _ in range(settings.epochs if documents else 0):
-        learner.learn(np.concatenate(documents))
-    return learner
-
-
-def train(documents: list[np.ndarray], unigram: np.ndarray, settings: Settings) -> Tables:
-    return trained(documents, unigram, settings).tables()
+            wanted = np.concatenate([y, drawn])
+            self._step(0, *_add(wanted, np.concatenate([e_true[:, None] * q, e_noise.T @ q])))
+            self._step(3, *_add(wanted, np.concatenate([e_true, e_noise.sum(0)])))
+            self._step(1, *_add(np.concatenate([u[at], v[at]]), np.concatenate([g_q * places[0], g_q * places[1]])))
+            self._step(2, slice(None), np.stack([(g_q * cu).sum(0), (g_q * cv).sum(0)]))
+
+
+class Scorer:
+    """Normalised log-probabilities of a learned model."""
+
+    def __init__(self, params: list[np.ndarray], remembered: int) -> None:
+        self.target, self.context, self.places, self.bias = params
+        self.size = len(self.bias)
+        self.keys = np.full(min(remembered, self.size**2), -1, np.int64)
+        self.norms = np.zeros(len(self.keys), np.float32)
+
+    def _queries(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return self.context[u] * self.places[0] + self.context[v] * self.places[1]
+
+    def normalisers(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        key = u * np.int64(self.size) + v
+        slot = key % len(self.keys)
+        out, new = self.norms[slot], self.keys[slot] != key
+        if new.any():
+            wanted, place = np.unique(key[new], return_inverse=True)
+            norms = np.empty(len(wanted), np.float32)
+            for start in range(0, len(wanted), 512):
+                part = wanted[start : start + 512]
+                z = self._queries(part // self.size, part % self.size) @ self.target.T + self.bias
+                top = z.max(axis=1)
+                norms[start : start + 512] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+            self.keys[wanted % len(self.keys)], self.norms[wanted % len(self.keys)] = wanted, norms
+            # Two new contexts may share a place: the last one stays, so keys and norms are set alike.
+            out[new] = norms[place]
+        return out
+
+    def log_probabilities(self, units: np.ndarray) -> np.ndarray:
+        """Natural logarithms of each unit of documents one after another."""
+        u, v = contexts(units)
+        return (self._queries(u, v) * self.target[units]).sum(1) + self.bias[units] - self.normalisers(u, v)
 
 
 def _pieces(column: pa.ListArray, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -195,59 +207,64 @@ def _pieces(column: pa.ListArray, most: int = 400_000) -> Iterator[tuple[int, in
 _UNIT = 1 << 40
 
 
-def learn_from_all(encoded: DataFrame, learner: Learner, n_tokens: int) -> None:
-    """Passes over all rows of ``encoded`` (``own``: ids of a document with its end; ``n_tokens`` together). Tasks start
-    from the parameters so far, which the mean of theirs by tokens follows."""
-    s, context = learner.settings, encoded.sparkSession.sparkContext
-    for _ in range(s.epochs if n_tokens else 0):
-        held = context.broadcast(learner)
+def learn_from_all(rounds: list[DataFrame], learner: Learner) -> None:
+    """A round for each of the tables (``own``: units of a document with its end). Tasks start from the parameters so far,
+    which the mean of theirs by units follows; a round without a row changes nothing."""
+    s = learner.settings
+    for rows in rounds:
+        total = rows.agg(F.sum(F.size("own").cast("long"))).first()[0]
+        if not total:
+            continue
+        held = rows.sparkSession.sparkContext.broadcast((learner.unigram, learner.flat()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine = Learner(np.zeros(len(held.value.p_noise)), s)
-            mine.p_noise, mine.log_noise, n = held.value.p_noise, held.value.log_noise, 0
-            mine.load(held.value.flat())
-            waiting, size = [], 0
+            mine = Learner(held.value[0], s)
+            mine.load(held.value[1])
+            rng, n, waiting, size = np.random.default_rng(TaskContext.get().partitionId()), 0, [], 0
             for batch in batches:
-                for _, _, ids in _pieces(batch.column(0)):
-                    waiting.append(ids)
-                    size += len(ids)
+                for _, _, units in _pieces(batch.column(0)):
+                    waiting.append(units)
+                    size += len(units)
                     if size >= 400_000:
-                        mine.learn(np.concatenate(waiting))
+                        mine.learn(np.concatenate(waiting), rng)
                         n, waiting, size = n + size, [], 0
             if size:
-                mine.learn(np.concatenate(waiting))
+                mine.learn(np.concatenate(waiting), rng)
                 n += size
             if n:
-                parts = np.rint(mine.flat() * (n / n_tokens * _UNIT)).astype(np.int64)
+                parts = np.rint(mine.flat() * (n / total * _UNIT)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array(parts)], ["at", "part"])
 
-        sums = encoded.select("own").mapInArrow(run, "at int, part long").groupBy("at").agg(F.sum("part").alias("part")).toArrow().sort_by("at")
+        sums = rows.select("own").mapInArrow(run, "at int, part long").groupBy("at").agg(F.sum("part").alias("part")).toArrow().sort_by("at")
         learner.load(np.array(sums["part"], np.float64) / _UNIT)
 
 
 class Lookup:
-    """What a worker knows of words: codes below ``len(hashes)`` are places in the broadcast table, others in ``rare``."""
+    """What a worker knows of words: each has a code, and by code its place in the broadcast table (or the place behind the
+    last one), its hash and its class."""
 
     most = 400_000
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes, self.codes, self.rare, self.n_rare = hashes, {}, np.zeros(self.most, np.int64), 0
+    def __init__(self, hashes: np.ndarray, endings: int) -> None:
+        self.hashes, self.endings, self.codes = hashes, endings, {}
+        self.place, self.hash, self.ending = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __call__(self, words: list[list[bytes]]) -> list[np.ndarray]:
         new = list(set().union(*words) - self.codes.keys())
         if len(self.codes) + len(new) > self.most:
             self.codes.clear()
-            self.n_rare, new = 0, list(set().union(*words))
-            if len(new) > len(self.rare):
-                self.rare = np.zeros(len(new), np.int64)
+            new = list(set().union(*words))
+        n = len(self.codes)
+        if n + len(new) > len(self.place):
+            room = max(self.most, n + len(new))
+            self.place, self.hash, self.ending = (np.concatenate([x[:n], np.zeros(room - n, x.dtype)]) for x in (self.place, self.hash, self.ending))
         h = np.fromiter(map(word_hash, new), np.int64, len(new))
         at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
         known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        n = int((~known).sum())
-        self.rare[self.n_rare : self.n_rare + n] = h[~known]
-        at[~known] = len(self.hashes) + self.n_rare + np.arange(n)
-        self.n_rare += n
-        self.codes.update(zip(new, at.tolist(), strict=True))
+        self.place[n : n + len(new)] = np.where(known, at, len(self.hashes))
+        self.hash[n : n + len(new)] = h
+        self.ending[n : n + len(new)] = np.fromiter((ending(w, self.endings) for w in new), np.int32, len(new))
+        self.codes.update(zip(new, range(n, n + len(new)), strict=True))
         return [np.fromiter(map(self.codes.__getitem__, x), np.int64, len(x)) for x in words]
 
 
@@ -270,56 +287,63 @@ def score(docs: DataFrame, settings: Settings = Settings(), folder: str | None =
 
     Learned from the rows that aren't held out, repeated rows counting each; a null id counts as the empty text there.
     A null text is empty: its one token is the end. Without training rows every count is 0 and the model knows only its
-    classes. One row out for each row in; other columns are not read.
+    units. One row out for each row in; other columns are not read.
     """
+    return fit(docs, settings, folder, id_col, text_col)[0]
+
+
+def fit(docs: DataFrame, settings: Settings = Settings(), folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Learner]:
+    """``score`` and the model it comes from."""
     spark, s = docs.sparkSession, settings
     folder = files.run_folder(spark, "lm", folder)
     held_out, is_training = training(id_col, s.part, s.parts)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    learned_from = docs.where(is_training).select(F.col(text_col).cast("string").alias("text"))
     n_docs = docs.where(is_training).count()
-    word_counts(learned_from).write.parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
-    by_size = {r.size: (r.words, r.n) for r in counts.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()}  # 64 rows at most
-    n_words, n_tokens = sum(w for w, _ in by_size.values()), sum(n for _, n in by_size.values())
-    distinct, total = n_words + (n_docs > 0), n_tokens + n_docs
+    counts = files.stored(word_counts(docs.where(is_training).select(F.col(text_col).cast("string").alias("text")), s.endings), f"{folder}/counts")
+    size = F.floor(F.log2("n"))
+    by_size = {r["size"]: r["words"] for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect()}  # 64 rows at most
+    of_class = np.zeros((2, s.endings), np.int64)  # different words and tokens
+    for r in counts.groupBy("ending").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():  # a row for each ending
+        of_class[:, r["ending"]] = r["words"], r["n"]
+    distinct, total = int(of_class[0].sum()) + (n_docs > 0), int(of_class[1].sum()) + n_docs
     least = 64
-    while least and sum(w for size, (w, _) in by_size.items() if size >= least - 1) <= s.frequent_words:
+    while least and sum(words for k, words in by_size.items() if k >= least - 1) <= s.frequent_words:
         least -= 1
-    rows = counts.where(F.floor(F.log2("n")) >= least).toArrow().sort_by("h")
-    hashes, n = np.array(rows["h"], np.int64), np.array(rows["n"], np.int64)
-
-    own = np.lexsort((hashes, -n))[: s.vocabulary]
-    ids = np.full(len(n) + 1, OTHER, np.int64)  # by place in the table; the last is for all other words
-    ids[own] = 2 + np.arange(len(own))
-    unigram = np.concatenate([[n_tokens - n[own].sum(), n_docs], n[own]]).astype(np.float64)
-    other_words, other_tokens = n_words - len(own), n_tokens - int(n[own].sum())
-    log_share = float(np.log10(other_tokens + 0.5 * (other_words + 1)))
+    rows = counts.where(size >= least).toArrow().sort_by("h")
+    hashes, n, endings = (np.array(rows[c], np.int64) for c in ("h", "n", "ending"))
+
+    # Units: the end, the endings, the single words; by place in the table 0 stands for a word's ending.
+    own = np.lexsort((hashes, -n))[: s.words]
+    unit_of = np.zeros(len(n) + 1, np.int32)
+    unit_of[own] = 1 + s.endings + np.arange(len(own))
+    np.subtract.at(of_class, (0, endings[own]), 1)
+    np.subtract.at(of_class, (1, endings[own]), n[own])
+    unigram = np.concatenate([[n_docs], of_class[1], n[own]]).astype(np.float64)
+    log_share = np.log10(of_class[1] + 0.5 * (of_class[0] + 1))
     log_total = float(np.log10(total + 0.5 * (distinct + 1)))
     log_count = np.log10(np.append(n, 0) + 0.5)
-    end_count = float(np.log10(n_docs + 0.5))
-    log_none = float(np.log10(0.5))
-    known = spark.sparkContext.broadcast((hashes, ids, log_count))
+    end_count, log_none = float(np.log10(n_docs + 0.5)), float(np.log10(0.5))
+    known = spark.sparkContext.broadcast((hashes, unit_of, log_count, log_share))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, log_count = known.value
-        lookup, last = Lookup(hashes), len(hashes)
+        hashes, unit_of, log_count, log_share = known.value
+        lookup, last = Lookup(hashes, s.endings), len(hashes)
         number = itertools.count(TaskContext.get().partitionId() << 36)
         for batch in batches:
             start = 0
             for words in _chunks(batch.column(1)):
                 keys, n_known, base, others, own, rare = [], [], [], [], [], []
                 for c in lookup(words):
-                    frequent = c < last
-                    place = np.minimum(c, last)
-                    logs = log_count[place]
+                    place, of = lookup.place[c], lookup.ending[c]
+                    logs, unit = log_count[place], unit_of[place]
+                    in_class = unit == 0
+                    is_rare = place == last
                     keys.append(next(number))
-                    own.append(np.append(ids[place], END).astype(np.int32))
-                    rare.append(lookup.rare[c[~frequent] - last])
-                    n_known.append(int(frequent.sum()) + (n_docs > 0))
+                    own.append(np.append(np.where(in_class, 1 + of, unit), END).astype(np.int32))
+                    rare.append(lookup.hash[c[is_rare]])
+                    n_known.append(len(c) - int(is_rare.sum()) + (n_docs > 0))
                     base.append(float(logs.sum()) + end_count)
-                    other = own[-1][:-1] == OTHER
-                    others.append(float(logs[other].sum()) - int(other.sum()) * log_share)
+                    others.append(float((logs - log_share[of])[in_class].sum()))
                 part = batch.slice(start, len(words))
                 start += len(words)
                 yield pa.RecordBatch.from_arrays(
@@ -329,37 +353,28 @@ def score(docs: DataFrame, settings: Settings = Settings(), folder: str | None =
 
     slim.mapInArrow(encoded, f"id {slim.schema[0].dataType.simpleString()}, held_out boolean, key long, row long, n_tokens long, n_known long, base double, others double, own array<int>, rare array<long>").write.option("compression", "zstd").parquet(f"{folder}/encoded")
     done = spark.read.parquet(f"{folder}/encoded")
-    learned = done.where("NOT held_out")
-
-    scale = 1_000_000
-    share = min(1.0, s.sample_documents / max(1, n_docs))
-    # By text: of n copies the sample has n times the share, rounded up or down by a hash of the text, so neither the order
-    # of rows nor a text of very many copies (null is the empty one) decides what else is in it.
-    copies = F.floor(F.col("n") * F.lit(share) + F.pmod(F.xxhash64("key"), F.lit(scale)) / scale).cast("long")
-    drawn = learned.groupBy("key").agg(F.count("*").alias("n")).select("key", copies.alias("copies")).where("copies > 0").toArrow()
-    chosen = spark.createDataFrame(drawn) if len(drawn) else spark.createDataFrame([], "key long, copies long")
-    sample = learned.join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("own").alias("own"), F.first("copies").alias("copies")).toArrow()
-    drawn_ids = sorted(((np.array(x, np.int64), n) for x, n in zip(sample["own"].to_pylist(), sample["copies"].to_pylist(), strict=True)), key=lambda x: (len(x[0]), x[0].tobytes()))
-    learner = trained([x for x, n in drawn_ids for _ in range(n)], unigram, s)
-    learn_from_all(learned, learner, total)
-    tables = spark.sparkContext.broadcast(learner.tables())
+    learner = Learner(unigram, s)
+    learned, early = done.where("NOT held_out"), F.pmod(F.xxhash64("key"), F.lit(100)) < s.first_share
+    learn_from_all([learned.where(early), learned.where(~early)], learner)
+    model = spark.sparkContext.broadcast(learner.params)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value, s.contexts)
         for batch in batches:
             column, sums = batch.column(0), [np.zeros(0)]
-            for start, stop, ids in _pieces(column):
+            for start, stop, units in _pieces(column, 100_000):
                 starts = column.offsets.to_numpy()[start:stop]
-                sums.append(np.add.reduceat(tables.value.log_probabilities(ids), starts - starts[0], dtype=np.float64) / np.log(10))
+                sums.append(np.add.reduceat(scorer.log_probabilities(units), starts - starts[0], dtype=np.float64) / np.log(10))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sums)), *batch.columns[1:]], ["model", *names])
 
     kept = done.select("own", "id", "held_out", "row", "n_tokens", "n_known", "base", "others")
     names = kept.columns[1:]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema[1:])
     modelled = kept.mapInArrow(scored, f"model double, {kinds}").withColumn("model", F.col("model") + F.col("others"))
-    # Words that are no training words keep the logarithm of 0.5 that ``scored`` gave them.
+    # Words that are no training words keep the logarithm of 0.5 that ``encoded`` gave them.
     more = (
         done.select("row", F.explode("rare").alias("h"))
-        .join(counts.where(F.floor(F.log2("n")) < least), "h")
+        .join(counts.where(size < least), "h")
         .groupBy("row")
         .agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 0.5) - log_none).alias("gain"))
     )
@@ -372,4 +387,4 @@ def score(docs: DataFrame, settings: Settings = Settings(), folder: str | None =
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + gain - F.col("n_tokens") * log_total).alias("base_score"),
         (F.col("model") + gain).alias("score"),
-    )
+    ), learner

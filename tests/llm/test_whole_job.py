@@ -21,7 +21,7 @@ def test_keep_one_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
 def test_lm_score_with_very_many_null_texts(spark):
     """Null texts, which come first, do not push other texts out of what the model learns from."""
     texts = [(k, "red blue " * 20 if k % 2 else "one two three " * 15) for k in range(300)]
-    settings = lm_score.Settings(sample_documents=1000, batch=64)
+    settings = lm_score.Settings(batch=64)
 
     def scores(rows):
         docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
@@ -34,9 +34,9 @@ def test_lm_score_with_very_many_null_texts(spark):
 
 
 def test_lm_score_learns_from_all_training_documents(spark):
-    """Contexts that hardly any document of the sample shows are learned from the others, in whatever task they are."""
+    """Contexts are learned from all documents, in whatever task they are."""
     docs = spark.createDataFrame([(k, "red blue " * 20 if k % 2 else "one two three " * 15) for k in range(600)], "doc_id long, text string").repartition(3)
-    scores = [r.score for r in lm_score.score(docs, lm_score.Settings(sample_documents=2, batch=64)).collect()]
+    scores = [r.score for r in lm_score.score(docs, lm_score.Settings(batch=64)).collect()]
     assert len(scores) == 600 and max(scores) < 0 and sum(scores) / len(scores) > -10
 
 
