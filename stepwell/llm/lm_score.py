@@ -102,7 +102,7 @@ def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _add(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(rows) and rows.max() < 1 << 16 else rows, kind="stable")  # of two bytes, a radix sort
     rows = rows[order]
     at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     return rows[at], np.add.reduceat(values[order], at, axis=0)
@@ -152,8 +152,9 @@ class Learner:
             e_noise = 1 / (1 + np.exp(-(q @ target[drawn].T + bias[drawn] - self.log_noise[drawn]))) * each
             g_q = e_true[:, None] * target[y] + e_noise @ target[drawn]
             wanted = np.concatenate([y, drawn])
-            self._step(0, *_add(wanted, np.concatenate([e_true[:, None] * q, e_noise.T @ q])))
-            self._step(3, *_add(wanted, np.concatenate([e_true, e_noise.sum(0)])))
+            rows, sums = _add(wanted, np.concatenate([np.column_stack([e_true[:, None] * q, e_true]), np.column_stack([e_noise.T @ q, e_noise.sum(0)])]))
+            self._step(0, rows, sums[:, :-1])
+            self._step(3, rows, sums[:, -1])
             self._step(1, *_add(np.concatenate([u[at], v[at]]), np.concatenate([g_q * places[0], g_q * places[1]])))
             self._step(2, slice(None), np.stack([(g_q * cu).sum(0), (g_q * cv).sum(0)]))
 
@@ -177,11 +178,20 @@ class Scorer:
         if new.any():
             wanted, place = np.unique(key[new], return_inverse=True)
             norms = np.empty(len(wanted), np.float32)
-            for start in range(0, len(wanted), 512):
-                part = wanted[start : start + 512]
-                z = self._queries(part // self.size, part % self.size) @ self.target.T + self.bias
-                top = z.max(axis=1)
-                norms[start : start + 512] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+            for start in range(0, len(wanted), 128):
+                part = wanted[start : start + 128]
+                z = self._queries(part // self.size, part % self.size) @ self.target.T
+                z += self.bias
+                top = z.max()
+                z -= top
+                np.exp(z, out=z)
+                norms[start : start + 128] = z.sum(axis=1)
+                if not norms[start : start + 128].min() > 1e-25:
+                    # A context whose scores all are far below another's: each by its own largest one.
+                    z = (self._queries(part // self.size, part % self.size) @ self.target.T + self.bias).astype(np.float64)
+                    norms[start : start + 128] = np.logaddexp.reduce(z, axis=1)
+                else:
+                    norms[start : start + 128] = np.log(norms[start : start + 128]) + top
             self.keys[wanted % len(self.keys)], self.norms[wanted % len(self.keys)] = wanted, norms
             # Two new contexts may share a place: the last one stays, so keys and norms are set alike.
             out[new] = norms[place]
@@ -203,6 +213,8 @@ def _pieces(column: pa.ListArray, most: int = 400_000) -> Iterator[tuple[int, in
         start = stop
 
 
+#: A worker's scorer of the last model, by the run's folder: what it remembers of contexts outlives a task.
+_SCORERS: dict[str, Scorer] = {}
 #: Merged parameters are sums of whole numbers: shares of this.
 _UNIT = 1 << 40
 
@@ -359,7 +371,10 @@ def fit(docs: DataFrame, settings: Settings = Settings(), folder: str | None = N
     model = spark.sparkContext.broadcast(learner.params)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value, s.contexts)
+        if folder not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[folder] = Scorer(model.value, s.contexts)
+        scorer = _SCORERS[folder]
         for batch in batches:
             column, sums = batch.column(0), [np.zeros(0)]
             for start, stop, units in _pieces(column, 100_000):
