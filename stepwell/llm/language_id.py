@@ -24,8 +24,9 @@ UNDETERMINED = "und"
 class Settings:
     bits: int = 15
     orders: int = 3
-    #: Bound of the sample that the regression is fitted on, for each language (in expectation; twice that at most).
+    #: Bound of the sample that the regression is fitted on, for each language, in expectation; of equal texts it takes one.
     sample_per_language: int = 400
+    #: Of more languages the model learns the most frequent ones.
     max_languages: int = 500
     epochs: int = 3
     alpha: float = 0.5
@@ -129,11 +130,10 @@ def training(id_col: Column | str = "doc_id", part: int = 2, parts: int = 4) ->
 
 
 def learn(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the labelled documents that aren't held out. Without any, it knows no language."""
+    """A model of the labelled documents that aren't held out. Without any, it knows no language. Null texts and labels
+    teach nothing; equal texts of one language are one example."""
     train = docs.where(training(id_col)[1] & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    per_language = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages + 1).collect()}
-    if len(per_language) > settings.max_languages:
-        raise ValueError(f"more than {settings.max_languages} languages")
+    per_language = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()}
     size = 1 << settings.bits
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,9 @@ def learn(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
 
     scale = 1_000_000
     share = F.create_map(*(x for lang, n in per_language.items() for x in (F.lit(lang), F.lit(int(min(1.0, settings.sample_per_language / n) * scale)))))
-    sample = train.where(F.pmod(F.xxhash64("id", "text"), F.lit(scale)) < share[F.col("lang")]).select("lang", "text", F.pmod(F.xxhash64("text", "id"), F.lit(settings.calibration_every)).alias("turn"))
+    # By the text alone, so that copies are drawn together and the first of them stands for all.
+    drawn = F.pmod(F.xxhash64("text"), F.lit(scale)) < share[F.col("lang")]
+    sample = train.where(drawn).groupBy("lang", F.xxhash64("text").alias("key")).agg(F.first("text").alias("text")).select("lang", "text", F.pmod(F.xxhash64("key"), F.lit(settings.calibration_every)).alias("turn"))
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("lang", pa.string()), ("turn", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
@@ -169,9 +171,7 @@ def learn(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
                         rows.append({"lang": lang, "turn": turn, "at": at, "n": n})
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    # The limit only holds where many rows are equal, as those are sampled together.
-    most = 2 * settings.sample_per_language * len(per_language)
-    got = sample.limit(most).mapInArrow(examples, "lang string, turn long, at array<int>, n array<int>").toArrow()
+    got = sample.mapInArrow(examples, "lang string, turn long, at array<int>, n array<int>").toArrow()
     # Slices of two arrays, as a list of numbers for each example would take the driver many times the memory.
     parts = [got[c].combine_chunks() for c in ("at", "n")]
     ends = [x.offsets.to_numpy() for x in parts]
@@ -200,7 +200,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``least_score``, with all their columns."""
+    """The rows of ``docs`` whose language is told with at least ``least_score``, with all their columns, whatever these are
+    called: null texts and those without a letter go, of repeated rows all or none stay. An empty table gives no row; a
+    model that knows no language keeps none."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

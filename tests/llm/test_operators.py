@@ -344,6 +344,24 @@ def test_quality_verdict(spark):
     kept = {r.doc_id for r in quality.judged(docs).where("kept").collect()}
     assert kept == set(range(30))
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
+    # Distances by hand, and the common words of a language that no list knows.
+    known = quality.references(docs, quality.Rules())
+    assert known.classes.shape == (1, 11) and known.words.shape == (1, 25)
+    texts = {r.doc_id: r for r in quality.judged(docs).collect()}
+    for k in (0, 100, 101):
+        text = docs.where(f"doc_id = {k}").first().text
+        words = [w.lower().encode() for w in text.split(" ")]
+        by_word = Counter(int(known.bin_of[quality.xxhash.xxh32_intdigest(w) >> 20]) for w in words)
+        for name, mine, ref in (("word", [by_word[b] for b in range(25)], known.words[0]), ("class", quality.class_histogram(text), known.classes[0])):
+            p, q = [x / sum(mine) for x in mine], ref.tolist()
+            half = sum(x * np.log2(2 * x / (x + y)) for x, y in zip(p, q, strict=True) if x) + sum(y * np.log2(2 * y / (x + y)) for x, y in zip(p, q, strict=True) if y)
+            assert texts[k][f"{name}_distance"] == pytest.approx((half / 2) ** 0.5, abs=1e-9)
+    assert quality.references(docs.where("doc_id > 100")).classes.shape == (0, 11)  # too few documents for a reference
+    labels = spark.createDataFrame([(k, 1) for k in range(30)] + [(100, 0), (101, 0), (None, 0)], "doc_id long, quality int")
+    bounds = quality.fitted(docs, labels)
+    assert 0.05 < bounds.max_class_distance < 0.5 and 0.05 < bounds.max_word_distance < 0.8
+    assert quality.fitted(docs, labels.limit(0)) == quality.Rules()
+    assert quality.keep_good(docs.limit(0)).count() == 0
     one = np.array([[4, 0], [0, 4], [0, 0]])
     far = quality.distance(one, np.array([[1.0, 0.0]]))
     assert far[0] == 0 and far[1] == 1 and np.isnan(far[2])
@@ -365,6 +383,13 @@ def test_language_id(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
     assert all(0 <= r.score <= 1 for r in got) and {r.lang_pred for r in got if r.doc_id in (900, 901, 902)} == {"und"}
     assert language_id.keep_identified(docs, model, 0.0).where("doc_id IN (900, 901, 902)").count() == 0
+    few = language_id.learn(docs.withColumn("lang", F.when(F.col("doc_id") == 7, "dirt").otherwise(F.col("lang"))), language_id.Settings(max_languages=3))
+    assert few.languages == ["de", "en", "fr"]
+    assert language_id.keep_identified(docs.limit(0), model).count() == 0
+    long = spark.createDataFrame([(1, data[0][1] * 3000, "en"), (2, data[1][1] * 3000, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(long, model).collect()} == {1: "en", 2: "de"}
+    hot = docs.unionAll(spark.createDataFrame([(None, data[1][1], "en", 0.5)] * 2000, docs.schema))  # one text a thousand times
+    assert language_id.identify(long, language_id.learn(hot)).where("doc_id = 2 AND lang_pred = 'de'").count() == 1
     none = language_id.learn(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
 
