@@ -326,7 +326,10 @@ def encode_decode(docs: DataFrame, path: str, outputs: Iterable[str] = ("n_token
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``rows`` with the decoded text of an array of ids in ``text_col``; a null array gives null."""
+    """``rows`` with the decoded text of an array of ids in ``text_col``, which must be a new column; a null array gives null,
+    an empty one the empty text; an empty table gives no row."""
+    if text_col.lower() in (c.lower() for c in rows.columns):
+        raise ValueError(f"there is a column {text_col} already")
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:

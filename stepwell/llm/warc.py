@@ -17,7 +17,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -65,12 +65,25 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, digest
         first = _record("response", own_id, url, "application/http;msgtype=response", http + payload, date, digest32)
     else:
         first = _record("revisit", own_id, url, "application/http;msgtype=response", http, date, digest32, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{record_id(original, digest)}>"))
-    ask = _record("request", str(uuid.uuid5(_SPACE, own_id + "/request")), url, "application/http;msgtype=request", b"GET %s HTTP/1.1\r\n\r\n" % quote(url or "/").encode(), date, together)
+    ask = _record("request", str(uuid.uuid5(_SPACE, own_id + "/request")), url, "application/http;msgtype=request", request_head(url), date, together)
     fields = {"page-id": page_id, "payload-length": len(payload), "refers-to-page": original, "no-uri": 1 if url is None else None, "uri": None if url is None else base64.b64encode(url.encode()).decode()}
     about = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None).encode()
     return first + ask + _record("metadata", str(uuid.uuid5(_SPACE, own_id + "/metadata")), url, "application/warc-fields", about, date, together)
 
 
+def request_head(url: str | None) -> bytes:
+    """The request for a page: path and query as target, the host beside it; ``*`` stands for a host that the url lacks."""
+    try:
+        parts = urlsplit(url or "")
+        host, path, query = parts.netloc.rpartition("@")[2], parts.path, parts.query
+    except ValueError:
+        host, path, query = "", url or "", ""
+    keep = "%/:@!$&'()*+,;=~-._"
+    target = quote(path, safe=keep) + ("?" + quote(query, safe=keep + "?") if query else "")
+    named = quote(host, safe="[]:.-_~%")
+    return f"GET {target if target.startswith('/') else '/' + target} HTTP/1.1\r\nHost: {named or '*'}\r\n\r\n".encode()
+
+
 def record_id(page_id: int | None, digest: str) -> str:
     return str(uuid.uuid5(_SPACE, f"{page_id}/{digest}"))
 
@@ -129,19 +142,20 @@ _COLUMNS = {"archive": "string", "record_id": "string", "concurrent_to": "string
 
 
 def read_records(spark: SparkSession, archives: list[str], with_payload: bool = True) -> DataFrame:
-    """A row for every record; digests and sizes of payloads that are there are taken from the payload itself."""
+    """A row for every record; digests and sizes of payloads that are there are taken from the payload itself. No archive
+    gives no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(c, kinds[k]) for c, k in _COLUMNS.items()])
         for batch in batches:
-            for k in batch.column(0).to_pylist():
+            for archive in batch.column(0).to_pylist():
                 held: list[dict] = []
                 size = 0
-                fs, at = files.locate(archives[k])
+                fs, at = files.locate(archive)
                 with fs.open_input_stream(at, compression=None) as source:
                     for head, block in records(source):
-                        row = {"archive": archives[k], "record_id": head["warc-record-id"], "concurrent_to": head.get("warc-concurrent-to"), "kind": head["warc-type"], "refers_to_record": head.get("warc-refers-to")}
+                        row = {"archive": archive, "record_id": head["warc-record-id"], "concurrent_to": head.get("warc-concurrent-to"), "kind": head["warc-type"], "refers_to_record": head.get("warc-refers-to")}
                         if row["kind"] == "response":
                             payload = block.partition(b"\r\n\r\n")[2]
                             row |= {"payload_digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload), "payload": payload if with_payload else None}
@@ -156,7 +170,8 @@ def read_records(spark: SparkSession, archives: list[str], with_payload: bool =
                             held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    return spark.range(0, len(archives), 1, max(1, len(archives))).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in _COLUMNS.items()))
+    # Names travel as rows, not in every task's closure.
+    return spark.createDataFrame([(a,) for a in archives], "archive string").repartition(max(1, len(archives))).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in _COLUMNS.items()))
 
 
 def captures(rows: DataFrame) -> DataFrame:
@@ -179,5 +194,6 @@ def captures(rows: DataFrame) -> DataFrame:
 
 
 def digests(assembled: DataFrame) -> DataFrame:
-    """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` of every capture."""
+    """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` of every capture; null where a
+    record that tells it is missing."""
     return assembled.select("page_id", "payload_bytes", F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "refers_to")

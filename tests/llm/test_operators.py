@@ -151,6 +151,9 @@ def test_warc(spark):
     assert captures.where("request IS NULL OR metadata IS NULL OR response IS NULL").count() == 0
     assert {bytes(r.payload).decode() for r in captures.select("response.payload").where("payload IS NOT NULL").collect()} == {big, small, ""}
     assert warc.write(spark, pages.limit(0)) == []
+    assert warc.captures(warc.read_records(spark, [])).count() == 0
+    heads = {"http://a.b/x?q=1 2": b"GET /x?q=1%202 HTTP/1.1\r\nHost: a.b\r\n\r\n", "https://u:p@a.b:80": b"GET / HTTP/1.1\r\nHost: a.b:80\r\n\r\n", "u": b"GET /u HTTP/1.1\r\nHost: *\r\n\r\n", None: b"GET / HTTP/1.1\r\nHost: *\r\n\r\n", "http://[x": b"GET /http://%5Bx HTTP/1.1\r\nHost: *\r\n\r\n"}
+    assert {u: warc.request_head(u) for u in heads} == heads
     blocks = list(warc.records(io.BytesIO(gzip.compress(b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"))))
     assert blocks == [({"warc-type": "x", "content-length": "2"}, b"ab")]
 
