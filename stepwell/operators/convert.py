@@ -65,7 +65,7 @@ def convert(lines: DataFrame) -> dict[str, DataFrame]:
     calls = latest(used, ["session_id", F.col("b.id")], F.asc("ordinal"), F.asc("place")).join(turns.select("session_id", "turn", F.col("ordinal").alias("step_at"), F.col("timestamp").alias("step_time")), ["session_id", "turn"]).select("session_id", "step_at", F.col("step_time").alias("timestamp"), F.struct("ordinal", "place").alias("rank"), F.col("b.name").alias("tool_name"), F.col("b.id").alias("tool_use_id"), F.when(F.ltrim("b.input").startswith("{"), F.col("b.input")).otherwise(F.to_json(F.struct(F.col("b.input").alias("input")))).alias("tool_input"))
     given = spoken.where("r.type = 'user'").select("session_id", "ordinal", "timestamp", "uuid", F.coalesce("r.isSidechain", F.lit(False)).alias("side"), F.col("r.agentId").alias("agent"), F.posexplode("blocks").alias("place", "b")).where("b.type = 'tool_result' AND b.tool_use_id IS NOT NULL")
     first = latest(given, ["session_id", F.col("b.tool_use_id")], F.asc("ordinal"), F.asc("place")).withColumn("tool_use_id", F.col("b.tool_use_id"))
-    matched = first.join(calls.select("session_id", "tool_use_id", "step_at", F.col("timestamp").alias("step_time")), ["session_id", "tool_use_id"], "left")
+    matched = first.join(calls.select("session_id", "tool_use_id", "step_at", F.col("timestamp").alias("step_time"), F.col("tool_name").alias("called")), ["session_id", "tool_use_id"], "left")
     orphan = matched.where("step_at IS NULL AND b.name IS NOT NULL")
     orphan_steps = orphan.select("session_id", "ordinal", "timestamp", F.lit("agent").alias("source"), null("string").alias("model_name"), F.lit("").alias("message"), "side", F.lit(False).alias("compact"), *(null("long").alias(c) for c in ("prompt_tokens", "completion_tokens", "cached_tokens", "cache_creation")), "agent", F.array("uuid").alias("uuids"))
 
@@ -80,13 +80,13 @@ def convert(lines: DataFrame) -> dict[str, DataFrame]:
     return {
         "steps": steps,
         "tool_calls": all_calls.select("session_id", "step_id", time, "tool_name", "tool_use_id", "tool_input"),
-        "tool_results": results.select("session_id", "step_id", time, "tool_use_id", F.col("b.content").alias("content"), F.col("b.is_error").alias("is_error"), exit_code("b.content", "b.is_error").alias("exit_code"), null("boolean").alias("interrupted"), null("string").alias("images")),
+        "tool_results": results.select("session_id", "step_id", time, "tool_use_id", F.col("b.content").alias("content"), F.col("b.is_error").alias("is_error"), exit_code("b.content", "b.is_error", F.coalesce("called", "b.name")).alias("exit_code"), null("boolean").alias("interrupted"), null("string").alias("images")),
     }
 
 
-def exit_code(content: str, is_error: str) -> Column:
-    """Of a failed command, as its output begins with it."""
-    return F.when(F.col(is_error), F.nullif(F.regexp_extract(content, r"^\s*Exit code (\d+)", 1), F.lit("")).cast("long"))
+def exit_code(content: str, is_error: str, tool: Column) -> Column:
+    """Of a failed shell command, as its output begins with it; other tools have none."""
+    return F.when(F.col(is_error) & (tool == "Bash"), F.nullif(F.regexp_extract(content, r"^\s*Exit code (\d+)", 1), F.lit("")).cast("long"))
 
 
 # -- events beside the messages
@@ -95,7 +95,7 @@ MAX_BYTES, MAX_STRING, MAX_ITEMS, MAX_DEPTH = 8192, 2048, 32, 8
 #: Kept records, and keys that are columns or noise.
 SYSTEM_SUBTYPES = ("stop_hook_summary", "api_error", "compact_boundary", "model_refusal_fallback")
 WHOLE_TYPES = ("cost-state", "mode", "permission-mode")
-ENVELOPE = frozenset("type subtype uuid parentUuid timestamp isSidechain toolUseID sessionId userType entrypoint cwd version gitBranch slug isMeta attachment rendered".split())
+ENVELOPE = {"type", "subtype", "uuid", "parentUuid", "timestamp", "isSidechain", "toolUseID", "sessionId", "userType", "entrypoint", "cwd", "version", "gitBranch", "slug", "isMeta", "attachment", "rendered"}
 SECOND_EVENTS = ("turn_aborted", "error", "stream_error", "context_compacted", "warning")
 
 

@@ -19,13 +19,12 @@ def naive(text: Column) -> Column:
 
 
 def message_text(step: Column | str) -> Column:
-    """A message is a string, or an array of parts whose texts are joined by a blank line. What it is, the JSON tells,
-    as a string may begin with a bracket too."""
-    column = F.col(step) if isinstance(step, str) else step
-    is_array = column.rlike(r'"message"\s*:\s*\[')
+    """A message is a string, or an array of parts whose texts are joined by a blank line. What it is, the step's own
+    field tells: read as an array it is null if it is a string, even one that holds JSON. Only messages that begin
+    with a bracket are read so."""
     raw = text_at(step, "$.message")
-    parts = F.from_json(raw, "array<struct<text: string>>")
-    return F.when(is_array & F.startswith(F.ltrim(raw), F.lit("[")) & parts.isNotNull(), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n")).otherwise(raw)
+    parts = F.from_json(step, "message array<struct<text: string>>")["message"]
+    return F.when(F.startswith(F.ltrim(raw), F.lit("[")) & parts.isNotNull(), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n")).otherwise(raw)
 
 
 def _each(trajectories: DataFrame) -> DataFrame:

@@ -114,10 +114,11 @@ def task_updates(r: Relations) -> DataFrame:
 def tasks_state_current(r: Relations) -> DataFrame:
     """A creation's task id comes from its result's prose, its result's JSON, or its number within the session. Updates
     at one time are taken by step."""
-    made, results = task_creations(r), r["tool_results"].select("tool_use_id", "content")
     number = F.row_number().over(Window.partitionBy("session_id").orderBy("created_at", "step_id", "tool_use_id"))
     prose = F.nullif(F.regexp_extract("content", r"Task #(\d+)", 1), F.lit(""))
-    creations = made.join(results, "tool_use_id", "left").select("session_id", "created_at", "subject", "active_form", F.coalesce(prose, text_at("content", "$.taskId"), number.cast("string")).alias("task_id"))
+    # The ids are taken out of the results before these are shuffled to their calls.
+    told = r["tool_results"].select("tool_use_id", F.coalesce(prose, text_at("content", "$.taskId")).alias("told_id"))
+    creations = task_creations(r).join(told, "tool_use_id", "left").select("session_id", "created_at", "subject", "active_form", F.coalesce("told_id", number.cast("string")).alias("task_id"))
     status = latest(task_updates(r).where("task_id IS NOT NULL"), ["session_id", "task_id"], F.desc("updated_at"), F.desc("step_id")).select("session_id", "task_id", "status", "updated_at")
     return creations.join(status, ["session_id", "task_id"], "left").select("session_id", "task_id", "subject", "active_form", F.coalesce("status", F.lit("pending")).alias("status"), "created_at", F.col("updated_at").alias("last_updated_at"))
 

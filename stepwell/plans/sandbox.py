@@ -41,6 +41,14 @@ def gate(spark: SparkSession, text: str) -> None:
             raise Refused(f"{name} is not a query")
         if name == "UnresolvedRelation" and node.multipartIdentifier().size() > 1:
             raise Refused("only the catalog's views can be read")
+        if name == "UnresolvedTableValuedFunction":
+            _check_function(spark, node.name())
+        expressions = [node.expressions().apply(i) for i in range(node.expressions().size())]
+        while expressions:
+            e = expressions.pop()
+            if e.getClass().getSimpleName() == "UnresolvedFunction":
+                _check_function(spark, e.nameParts())
+            expressions += [e.children().apply(i) for i in range(e.children().size())]
         for children in (node.children(), node.innerChildren()):
             for i in range(children.size()):
                 child = children.apply(i)
@@ -48,6 +56,25 @@ def gate(spark: SparkSession, text: str) -> None:
                     stack.append(child)
 
 
+#: Functions that call into the JVM or tell of the machine.
+DENIED = {"reflect", "try_reflect", "java_method", "input_file_name", "input_file_block_start", "input_file_block_length", "current_catalog", "session_user", "current_user", "user", "version"}
+
+
+def _check_function(spark: SparkSession, parts) -> None:
+    """Only functions that are built in or that this session has registered, by a plain name, and none that is denied."""
+    name = ".".join(parts.apply(i) for i in range(parts.size())).lower()
+    if parts.size() > 1 or name in DENIED:
+        raise Refused(f"the function {name} is not allowed")
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    tables = spark._jsparkSession.sessionState().tableFunctionRegistry()
+    identifier = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+    if not (registry.functionExists(identifier) or tables.functionExists(identifier)):
+        raise Refused(f"the function {name} is not known")
+
+
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.S)
+
+
 def _ancestors(node) -> Iterator:
     todo = [node.getClass()]
     while todo:
@@ -60,12 +87,11 @@ def _ancestors(node) -> Iterator:
 
 
 def run(spark: SparkSession, text: str) -> DataFrame:
-    """The query's result. Relations of the form ``format.`path` `` are off for its session."""
-    if re.search(r";\s*\S", text):
-        raise Refused("one statement at a time")
+    """The query's result. Nothing of the session is changed."""
     text = text.strip().rstrip(";")
+    if ";" in _QUOTED.sub(" ", text):
+        raise Refused("one statement at a time")
     gate(spark, text)
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
     return spark.sql(text)
 
 

@@ -42,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a local one is made only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file:///tmp/stepwell-{os.getuid()}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)

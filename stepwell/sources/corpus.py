@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +42,11 @@ def _session() -> Column:
     return F.regexp_extract(_path(), r"/sessions/([^/]+)/[^/]+$", 1)
 
 
+def _literal(path: str) -> str:
+    """A path whose special characters are no glob."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
+
 class Corpus:
     """The relations of a corpus, as ``operators.views`` reads them."""
 
@@ -53,15 +57,28 @@ class Corpus:
 
     def _read(self, artifact: str, kind: str, schema: str, **options: str) -> DataFrame:
         """Rows with ``_session`` and ``_path``; no row where no session has the artifact."""
-        glob = f"{self.root}/sessions/*/{artifact}{{,.zst}}"
-        try:
-            rows = self.spark.read.format(kind).schema(schema).options(**options).load(glob)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        paths = self._paths(artifact)
+        if not paths:
             return self.spark.createDataFrame([], f"{schema}, _session string, _path string")
+        rows = self.spark.read.format(kind).schema(schema).options(**options).load(paths)
         return rows.select("*", _session().alias("_session"), _path().alias("_path"))
 
+    def _paths(self, artifact: str) -> list[str]:
+        """A glob for each spelling that is there; where a session has both, the compressed one counts, and the plain
+        ones of the others are named one by one."""
+        jvm = self.spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+        def found(name: str) -> dict[str, str]:
+            listed = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/sessions/*/{name}")) or []
+            return {s.getPath().getParent().getName(): s.getPath().toString() for s in listed}
+
+        plain, packed = found(artifact), found(f"{artifact}.zst")
+        out = [f"{self.root}/sessions/*/{artifact}.zst"] if packed else []
+        if plain.keys() & packed.keys():
+            return out + [_literal(p) for s, p in sorted(plain.items()) if s not in packed]
+        return out + ([f"{self.root}/sessions/*/{artifact}"] if plain else [])
+
     def meta(self) -> DataFrame:
         rows = self._read("meta.json", "json", META, multiLine="true")
         return rows.where(session_id_ok(F.col("_session"))).withColumn("session_id", F.col("_session")).drop("_session", "_path")

@@ -145,3 +145,38 @@ def test_windows_like_a_loop(spark):
     df = spark.createDataFrame(rows, "session_id string, stream string, position long, chars long, mark string")
     got = [(r["session_id"], r["index"], r["start"], r["stop"], r["boundary"], r["chars"]) for r in passes.plan_windows(df, 200, 50).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_compressed_files_stand_for_plain_ones(spark, root):
+    import zstandard
+
+    packed = zstandard.ZstdCompressor()
+    plain = root / "sessions" / "s1" / "edges.jsonl"
+    (plain.parent / "edges.jsonl.zst").write_bytes(packed.compress(plain.read_bytes()))
+    events = root / "sessions" / "s2" / "session_events.jsonl"
+    (events.parent / "session_events.jsonl.zst").write_bytes(packed.compress(events.read_bytes()))
+    events.unlink()
+    relations = Corpus(spark, str(root)).relations()
+    assert sorted((r.session_id, r.uuid) for r in relations["edges"].collect()) == [("s1", "u1"), ("s1", "u2"), ("s2", "u1"), ("s2", "u2")]
+    assert sorted(r.session_id for r in relations["events"].collect()) == ["s1", "s2"]
+
+
+def test_a_string_message_that_holds_json_stays_whole(spark):
+    from stepwell.operators import steps as S
+
+    text = '[{"type":"text","text":"a"}]'
+    rows = [json.dumps({"step_id": 1, "message": text, "tool_calls": [{"arguments": {"message": [1]}}]}), json.dumps({"step_id": 2, "message": [{"text": "a"}, {"x": 1}, {"text": "b"}]}), json.dumps({"step_id": 3})]
+    df = spark.createDataFrame([("s", rows)], "session_id string, steps array<string>")
+    assert {r.step_id: r.message for r in S.steps(df).collect()} == {1: text, 2: "a\n\nb", 3: None}
+
+
+def test_sandbox_refuses_what_reaches_the_machine(spark):
+    spark.range(3).createOrReplaceTempView("numbers")
+    for text in ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM numbers WHERE java_method('java.lang.System', 'getProperty', 'a') = 'b'", "SELECT (SELECT max(try_reflect('java.lang.System', 'getProperty', 'a')) FROM numbers)", "WITH c AS (SELECT Reflect('java.lang.System', 'getProperty', 'a') AS x) SELECT * FROM c", "SELECT a.b.c(1)", "SELECT 1; SELECT 2", "SELECT * FROM no_such_function(1)"):
+        with pytest.raises(sandbox.Refused):
+            sandbox.run(spark, text)
+    before = spark.conf.get("spark.sql.runSQLOnFiles")
+    assert sandbox.run(spark, "SELECT 'a; b' AS x -- a; comment").first().x == "a; b"
+    assert sandbox.run(spark, "SELECT upper('x'), count(*) FROM range(3) WHERE id > 0;").count() == 1
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == before
+    assert [sandbox.exit_code(e) for e in (sandbox.Refused("x"), RuntimeError())] == [sandbox.EXIT_REFUSED, sandbox.EXIT_RUNTIME]
