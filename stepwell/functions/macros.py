@@ -150,3 +150,30 @@ def perceived_rate(errors: DataFrame, messages: DataFrame, turns: DataFrame, sin
 
 def perceived_examples(errors: DataFrame, signal: str, n: int) -> DataFrame:
     return errors.where(F.col("signal") == signal).orderBy(F.desc("confidence"), F.desc("detected_at"), "session_id", "turn_uuid").select("session_id", "turn_uuid", "severity", "evidence", "agent_error_summary", "confidence", "detected_at").limit(n)
+
+
+def search_steps(embeddings: DataFrame, steps: DataFrame, probe: Sequence[float], k: int, session_id: str | None = None, chars: int = 200) -> DataFrame:
+    """The ``k`` nearest vectors with the beginning of their step's text; of one session, if it is named. Only ``k`` rows
+    meet the steps, so they are broadcast."""
+    rows = steps.where(F.col("session_id") == session_id) if session_id is not None else steps
+    if session_id is not None:
+        embeddings = embeddings.join(rows.select("uuid").distinct(), "uuid", "left_semi")
+    found = semantic_search(embeddings, probe, k)
+    return rows.join(F.broadcast(found), "uuid").select("uuid", "session_id", "sim", "distance", F.substring("message", 1, chars).alias("snippet"))
+
+
+def probe_time(embeddings: DataFrame, k: int = 10) -> tuple[float, int]:
+    """Seconds of an exact search for the smallest uuid's vector, and how many vectors there are."""
+    import time
+
+    first = embeddings.orderBy("uuid").select("embedding").first()
+    if first is None:
+        return 0.0, 0
+    began = time.perf_counter()
+    semantic_search(embeddings, first["embedding"], k).collect()
+    return time.perf_counter() - began, embeddings.count()
+
+
+def median_of_last(rows: DataFrame, value: str, order: str, n: int = 7) -> DataFrame:
+    """The median of the last ``n`` values."""
+    return rows.orderBy(F.desc(order)).limit(n).agg(F.percentile(value, 0.5).alias("median"), F.count("*").alias("n"))
