@@ -53,7 +53,7 @@ class Settings:
     batch: int = 2048
     rate: float = 0.1
     #: Contexts whose normaliser a worker remembers.
-    contexts: int = 1 << 21
+    contexts: int = 1 << 22
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -251,24 +251,33 @@ def learn_from_all(rounds: list[DataFrame], learner: Learner) -> None:
         learner.load(np.array(sums["part"], np.float64) / _UNIT)
 
 
+class _Codes(dict):
+    """Words and their codes; a word that is looked up for the first time gets the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 class Lookup:
     """What a worker knows of words: each has a code, and by code its place in the broadcast table (or the place behind the
-    last one), its hash and its class."""
+    last one), its hash and its class. It starts anew before a chunk once it knows ``most`` words."""
 
     most = 400_000
 
     def __init__(self, hashes: np.ndarray, endings: int) -> None:
-        self.hashes, self.endings, self.codes = hashes, endings, {}
+        self.hashes, self.endings, self.codes, self.n = hashes, endings, _Codes(), 0
         self.place, self.hash, self.ending = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def __call__(self, words: list[list[bytes]]) -> list[np.ndarray]:
-        new = list(set().union(*words) - self.codes.keys())
-        if len(self.codes) + len(new) > self.most:
+    def __call__(self, words: list[list[bytes]]) -> np.ndarray:
+        """The codes of the words of texts one after another."""
+        if len(self.codes) > self.most:
             self.codes.clear()
-            new = list(set().union(*words))
-        n = len(self.codes)
+            self.n = 0
+        out = np.fromiter(map(self.codes.__getitem__, itertools.chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        n, new = self.n, list(itertools.islice(self.codes, self.n, None))
         if n + len(new) > len(self.place):
-            room = max(self.most, n + len(new))
+            room = n + len(new) + self.most // 4
             self.place, self.hash, self.ending = (np.concatenate([x[:n], np.zeros(room - n, x.dtype)]) for x in (self.place, self.hash, self.ending))
         h = np.fromiter(map(word_hash, new), np.int64, len(new))
         at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
@@ -276,8 +285,8 @@ class Lookup:
         self.place[n : n + len(new)] = np.where(known, at, len(self.hashes))
         self.hash[n : n + len(new)] = h
         self.ending[n : n + len(new)] = np.fromiter((ending(w, self.endings) for w in new), np.int32, len(new))
-        self.codes.update(zip(new, range(n, n + len(new)), strict=True))
-        return [np.fromiter(map(self.codes.__getitem__, x), np.int64, len(x)) for x in words]
+        self.n = len(self.codes)
+        return out
 
 
 def _chunks(texts, most: int = 2_000_000) -> Iterator[list[list[bytes]]]:
@@ -341,25 +350,29 @@ def fit(docs: DataFrame, settings: Settings = Settings(), folder: str | None = N
         hashes, unit_of, log_count, log_share = known.value
         lookup, last = Lookup(hashes, s.endings), len(hashes)
         number = itertools.count(TaskContext.get().partitionId() << 36)
+        def summed(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(values)])
+            return total[ends] - total[np.concatenate([[0], ends[:-1]])]
+
         for batch in batches:
             start = 0
             for words in _chunks(batch.column(1)):
-                keys, n_known, base, others, own, rare = [], [], [], [], [], []
-                for c in lookup(words):
-                    place, of = lookup.place[c], lookup.ending[c]
-                    logs, unit = log_count[place], unit_of[place]
-                    in_class = unit == 0
-                    is_rare = place == last
-                    keys.append(next(number))
-                    own.append(np.append(np.where(in_class, 1 + of, unit), END).astype(np.int32))
-                    rare.append(lookup.hash[c[is_rare]])
-                    n_known.append(len(c) - int(is_rare.sum()) + (n_docs > 0))
-                    base.append(float(logs.sum()) + end_count)
-                    others.append(float((logs - log_share[of])[in_class].sum()))
+                c = lookup(words)
+                sizes = np.array([len(x) for x in words], np.int64)
+                ends = np.cumsum(sizes)
+                place, of = lookup.place[c], lookup.ending[c]
+                logs, unit = log_count[place], unit_of[place]
+                in_class, is_rare = unit == 0, place == last
+                # Each document's units, and the end behind them.
+                own = np.full(len(c) + len(words), END, np.int32)
+                own[np.arange(len(c)) + np.repeat(np.arange(len(words)), sizes)] = np.where(in_class, 1 + of, unit)
+                n_rare = summed(is_rare.astype(np.int64), ends)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], x]), pa.int32()), pa.array(v)) for x, v in ((ends + 1 + np.arange(len(words)), own), (np.cumsum(n_rare), lookup.hash[c[is_rare]]))]
                 part = batch.slice(start, len(words))
                 start += len(words)
+                keys = list(itertools.islice(number, len(words)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), pa.array(keys, pa.int64()), pa.array([len(x) + 1 for x in words], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(others, pa.float64()), pa.array(own, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.int64()))],
+                    [part.column(0), part.column(2), part.column(3), pa.array(keys, pa.int64()), pa.array(sizes + 1), pa.array(sizes - n_rare + (n_docs > 0)), pa.array(summed(logs, ends) + end_count), pa.array(summed(np.where(in_class, logs - log_share[of], 0.0), ends)), *lists],
                     ["id", "held_out", "key", "row", "n_tokens", "n_known", "base", "others", "own", "rare"],
                 )
 
