@@ -166,24 +166,29 @@ def session_events(lines: DataFrame) -> DataFrame:
 # -- the second dialect
 
 
-def item_edges(lines: DataFrame) -> DataFrame:
-    """An edge for every record, in file order. Its id is the payload's, else type and ordinal, else type and line; an id
-    that an earlier record has gives way to type and line."""
+def item_ids(lines: DataFrame) -> DataFrame:
+    """Lines with ``uuid``: the payload's id, else type and ordinal, else type and line; an id that an earlier record has
+    gives way to type and line."""
     at = lambda p: F.get_json_object("value", f"$.{p}")
-    kind, item = F.coalesce(F.nullif(at("type"), F.lit("")), F.lit("record")), at("payload.type")
+    kind = F.coalesce(F.nullif(at("type"), F.lit("")), F.lit("record"))
     by_line = F.concat(kind, F.lit(":L"), F.col("line").cast("string"))
     own = F.coalesce(F.nullif(at("payload.id"), F.lit("")), F.when(at("ordinal").rlike("^-?[0-9]+$"), F.concat(kind, F.lit(":"), at("ordinal"))), by_line)
-    edge_type = F.when(kind == "response_item", F.when(item == "message", F.coalesce(F.nullif(at("payload.role"), F.lit("")), F.lit("message"))).otherwise(item)).when(kind == "event_msg", F.concat(F.lit("event"), F.coalesce(F.concat(F.lit(":"), item), F.lit("")))).otherwise(at("type"))
-    rows = lines.select("session_id", "source_file", "file_rank", "line", own.alias("own"), by_line.alias("by_line"), edge_type.alias("type"), at("timestamp").alias("ts"), (kind == "compacted").alias("is_compact_summary"), F.when(item == "message", at("payload.id")).alias("message_id"))
     again = F.row_number().over(Window.partitionBy("session_id", "own").orderBy("file_rank", "line")) > 1
-    return rows.withColumn("uuid", F.when(again, F.col("by_line")).otherwise(F.col("own"))).select("session_id", "uuid", F.lit(None).cast("string").alias("parent_uuid"), "message_id", "type", "ts", F.lit(False).alias("is_sidechain"), "is_compact_summary", "source_file", "file_rank", "line")
+    return lines.select("session_id", "source_file", "file_rank", "line", "value", own.alias("own"), by_line.alias("by_line")).select("session_id", "source_file", "file_rank", "line", "value", F.when(again, F.col("by_line")).otherwise(F.col("own")).alias("uuid"))
+
+
+def item_edges(lines: DataFrame) -> DataFrame:
+    """An edge for every record, in file order."""
+    at = lambda p: F.get_json_object("value", f"$.{p}")
+    kind, item = F.coalesce(F.nullif(at("type"), F.lit("")), F.lit("record")), at("payload.type")
+    edge_type = F.when(kind == "response_item", F.when(item == "message", F.coalesce(F.nullif(at("payload.role"), F.lit("")), F.lit("message"))).otherwise(item)).when(kind == "event_msg", F.concat(F.lit("event"), F.coalesce(F.concat(F.lit(":"), item), F.lit("")))).otherwise(at("type"))
+    return item_ids(lines).select("session_id", "uuid", F.lit(None).cast("string").alias("parent_uuid"), F.when(item == "message", at("payload.id")).alias("message_id"), edge_type.alias("type"), at("timestamp").alias("ts"), F.lit(False).alias("is_sidechain"), (kind == "compacted").alias("is_compact_summary"), "source_file", "file_rank", "line")
 
 
 def item_events(lines: DataFrame) -> DataFrame:
     at = lambda p: F.get_json_object("value", f"$.{p}")
     kind, item = at("type"), at("payload.type")
-    ids = item_edges(lines).select("session_id", "file_rank", "line", "uuid")
-    rows = lines.join(ids, ["session_id", "file_rank", "line"]).select("*", kind.alias("event_type"), F.when((kind == "event_msg") & item.isin(*SECOND_EVENTS), item).alias("subtype"))
+    rows = item_ids(lines).select("*", kind.alias("event_type"), F.when((kind == "event_msg") & item.isin(*SECOND_EVENTS), item).alias("subtype"))
     none = F.lit(None).cast("string")
     return _numbered_events(rows.where("event_type = 'compacted' OR subtype IS NOT NULL"), _bound_second, none, none, F.lit(False))
 

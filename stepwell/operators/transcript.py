@@ -84,7 +84,8 @@ def usage_sums(calls: DataFrame, long_context: int) -> DataFrame:
 
 def request_numbers(items: DataFrame) -> DataFrame:
     """The model request that each item of a flat log belongs to: a token count ends a request, but only if output has
-    been seen since the last one did. ``items``: session_id, line, is_count, is_output.
+    been seen since the last one did. ``items``: session_id, line, is_count, is_output; they keep their other columns, and
+    get ``request`` and ``ends``, whether they end one.
 
     Counts cut the log in gaps; those without output are no request's end, so their items belong to the next one."""
     by_line = Window.partitionBy("session_id").orderBy("line")
@@ -93,7 +94,7 @@ def request_numbers(items: DataFrame) -> DataFrame:
     seen = F.max(F.col("is_output").cast("int")).over(Window.partitionBy("session_id", "gap"))
     ends = gaps.withColumn("ends", F.col("is_count") & (seen == 1))
     number = F.coalesce(F.sum(F.col("ends").cast("int")).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ends.select("session_id", "line", number.cast("long").alias("request"))
+    return ends.withColumn("request", number.cast("long")).drop("gap")
 
 
 def nested_outcomes(windows: DataFrame, items: DataFrame) -> DataFrame:

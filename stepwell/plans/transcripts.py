@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import macros
-from ..operators import friction, passes, stages, transcript
+from ..operators import friction, item_log, passes, stages, transcript
 from ..session import table
 from ..sources import vectors
 from .inputs import Relations, oracle_text
@@ -113,7 +113,7 @@ ends AS (SELECT session_id, line FROM (SELECT *, lag(line, 1, -1) OVER (PARTITIO
 SELECT session_id, line, (SELECT count(*) FROM ends WHERE ends.session_id = e.session_id AND ends.line < e.line) AS request FROM e""")
 def request_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("line"), (F.col("event_type") == "signup").alias("is_count"), (F.col("event_type") == "view").alias("is_output"))
-    return transcript.request_numbers(items)
+    return transcript.request_numbers(items).select("session_id", "line", "request")
 
 
 @query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, event_type FROM events), w AS (SELECT session_id, 'call-' || event_id AS call_id, event_id AS opened, event_id + 300 AS closed FROM e WHERE event_type = 'click')
@@ -124,6 +124,57 @@ def nested_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.nested_outcomes(windows, events.where("event_type = 'purchase'").drop("event_type")).select("session_id", "line", "call_id")
 
 
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS line, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type <> 'error'),
+i AS (SELECT *, k % 7 AS c, event_type = 'view' AND k % 3 = 0 AS alone, event_type = 'click' OR (event_type = 'view' AND k % 3 <> 0) AS put_out FROM e),
+g AS (SELECT *, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY session_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM i),
+n AS (SELECT *, event_type = 'signup' AND bool_or(put_out) OVER (PARTITION BY session_id, gap) AS ends FROM g),
+r AS (SELECT *, count(*) FILTER (WHERE ends) OVER (PARTITION BY session_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS request, count(*) FILTER (WHERE alone) OVER (PARTITION BY session_id ORDER BY line) AS run FROM n),
+o AS (SELECT session_id, line, CASE WHEN lag(event_type) OVER w = 'click' THEN lag(request) OVER w ELSE request END AS made_in, first_value(k % 3 <> 0) OVER (PARTITION BY session_id, c, event_type ORDER BY line) AS failed, event_type FROM r WHERE event_type IN ('click', 'purchase') WINDOW w AS (PARTITION BY session_id, c ORDER BY line)),
+t AS (SELECT r.*, CASE WHEN r.event_type = 'purchase' THEN made_in ELSE request END AS of_request, failed FROM r LEFT JOIN o USING (session_id, line) WHERE r.event_type IN ('view', 'purchase')),
+s AS (SELECT session_id, line, 'user' AS source, 'said ' || k AS message, NULL AS of_request, 0 AS n_calls, 0 AS n_failed FROM t WHERE alone
+ UNION ALL SELECT session_id, min(line), 'agent', coalesce(string_agg('said ' || k, chr(10) || chr(10) ORDER BY line) FILTER (WHERE event_type = 'view'), ''), of_request, count(*) FILTER (WHERE event_type = 'purchase'), count(*) FILTER (WHERE event_type = 'purchase' AND failed) FROM t WHERE NOT alone GROUP BY session_id, run, of_request)
+SELECT s.session_id, row_number() OVER (PARTITION BY s.session_id ORDER BY s.line) AS step_id, source, message, r.line + 1 AS prompt_tokens, n_calls, n_failed FROM s LEFT JOIN r ON r.ends AND r.session_id = s.session_id AND r.request = s.of_request""")
+def converted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = item_log.convert_items(_item_lines(spark, sf_dir))
+    flags = got["tool_results"].groupBy("session_id", "step_id").agg(F.count("*").alias("n_calls"), F.sum(F.col("is_error").cast("long")).alias("n_failed"))
+    return got["steps"].join(flags, ["session_id", "step_id"], "left").select("session_id", "step_id", "source", "message", "prompt_tokens", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"))
+
+
+def _item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of items: views are messages, clicks calls, purchases their outputs, signups token counts."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    kind, call = F.col("event_type"), F.concat(F.lit("c"), (F.col("k") % 7).cast("string"))
+    said = F.array(F.struct(F.concat(F.lit("said "), F.col("k").cast("string")).alias("text")))
+    payload = F.struct(
+        F.when(kind == "view", "message").when(kind == "click", "function_call").when(kind == "purchase", "function_call_output").when(kind == "signup", "token_count").otherwise("warning").alias("type"),
+        F.when(kind == "view", F.when(F.col("k") % 3 == 0, "user").otherwise("assistant")).alias("role"), F.when(kind == "view", said).alias("content"),
+        F.when(kind.isin("click", "purchase"), call).alias("call_id"), F.when(kind == "click", F.to_json(F.struct("k"))).alias("arguments"),
+        F.when(kind == "purchase", F.concat(F.lit("Exit code: "), (F.col("k") % 3).cast("string"))).alias("output"),
+        F.when(kind == "signup", F.struct(F.struct((F.col("event_id") + 1).alias("input_tokens")).alias("last_token_usage"))).alias("info"),
+    )
+    record = F.struct(F.when(kind.isin("signup", "error"), "event_msg").otherwise("response_item").alias("type"), payload.alias("payload"))
+    return e.select(F.col("user_id").cast("string").alias("session_id"), F.lit("main.jsonl").alias("source_file"), F.lit(0).alias("file_rank"), F.col("event_id").alias("line"), F.to_json(record).alias("value"))
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS line, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+w AS (SELECT *, lead(line) OVER (PARTITION BY session_id, k % 5 ORDER BY line) AS closed FROM e WHERE event_type IN ('click', 'purchase')),
+x AS (SELECT session_id, line AS script, coalesce(closed, 9223372036854775807) AS closed, k % 3 AS turn, k % 5 AS c, row_number() OVER (PARTITION BY session_id, k % 5 ORDER BY line) AS nth FROM w WHERE event_type = 'click'),
+m AS (SELECT e.session_id, e.line, count(*) AS n, min(script) AS script FROM e JOIN x ON x.session_id = e.session_id AND script < e.line AND e.line < x.closed AND (turn = 0 OR e.k % 3 = 0 OR turn = e.k % 3) WHERE event_type = 'view' GROUP BY 1, 2),
+bad AS (SELECT DISTINCT x.session_id, x.script FROM x JOIN e ON x.session_id = e.session_id AND x.script < e.line AND e.line < x.closed AND (turn = 0 OR e.k % 3 = 0 OR turn = e.k % 3) AND event_type = 'view' JOIN m ON m.session_id = e.session_id AND m.line = e.line AND m.n > 1)
+SELECT m.session_id, m.line, 'c' || c AS call_id, 'item ' || m.line AS item_id FROM m JOIN x ON x.session_id = m.session_id AND x.script = m.script WHERE n = 1 AND nth = 1 AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.session_id = x.session_id AND bad.script = x.script)""")
+def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    kind, none, k = F.col("event_type"), F.lit(None).cast("string"), F.col("k")
+    turn = F.when(k % 3 != 0, (k % 3).cast("string"))
+    items = e.where("event_type IN ('view', 'click', 'purchase')").select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("line"), F.when(kind == "view", "item").when(kind == "click", "call").otherwise("output").alias("kind"),
+        F.when(kind == "click", "custom_tool_call").alias("item_type"), F.when(kind == "click", "exec").alias("name"), F.when(kind != "view", F.concat(F.lit("c"), (k % 5).cast("string"))).alias("call_id"),
+        F.when(kind == "view", turn).alias("turn_id"), F.when(kind == "click", turn).alias("call_turn"), F.when(kind == "purchase", "Script completed").alias("output"), none.alias("listed"),
+        F.when(kind == "view", F.to_json(F.struct(F.lit("CommandExecution").alias("type"), F.concat(F.lit("item "), F.col("event_id").cast("string")).alias("id"), F.lit(0).alias("exit_code")))).alias("item"),
+    )
+    return item_log.outcomes(items)[1].select("session_id", "line", "call_id", "item_id")
+
+
 @query(r"""SELECT CAST(doc_id AS VARCHAR) AS finding, CASE WHEN doc_id % 5 = 1 THEN 'no_quote' WHEN doc_id % 5 = 2 THEN 'unknown_step' WHEN doc_id % 5 = 3 THEN 'not_said' WHEN trim(regexp_replace(substr(text, 5, 40), '\s+', ' ', 'g')) = '' THEN 'no_quote' END AS dropped FROM documents WHERE text IS NOT NULL""")
 def cited_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, n = table(spark, sf_dir, "documents").where("text IS NOT NULL"), F.col("doc_id")
