@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from .convert import item_ids
 from .steps import naive
 from .transcript import request_numbers
@@ -297,8 +298,8 @@ def convert_items(lines: DataFrame) -> dict[str, DataFrame]:
     its output is; an output without a call is a call of its own. Token counts are those of the count that ends the
     request, zero as not stated. A step names the records of its calls by call id, its request's messages and searches,
     and the reasoning of either.
-    Empty and unreadable lines, and items of other types, make no step; without any the three tables are empty."""
-    rows = items(lines)
+    The parsed items are written once to the shared folder. Empty and unreadable lines, and items of other types, make no step; without any the three tables are empty."""
+    rows = written(items(lines), "items")
     k = F.col("kind")
     assistant = (k == "message") & (F.col("role") == "assistant")
     message = (k == "message") & (F.col("role") != "assistant")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+def written(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, for what several branches read: it is computed once, each branch reads
+    its own columns of it, and a lost executor does not compute it again."""
+    folder = f"{shared_folder(rows.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

@@ -1,7 +1,7 @@
 """A lake of versioned Parquet tables.
 
-``<root>/v=<n>/<table>`` holds a version of a table, partitioned by corpus and, for tables with a time, by month;
-``<root>/_CURRENT/<n>.json`` maps each table to the versions that make it up. A reader takes the newest map once, so
+``<root>/v=<n>/<table>`` holds what version n wrote of a table, by corpus and part: a month for tables with a time, else a
+bucket of sessions. ``<root>/_CURRENT/<n>.json`` maps each part to the version that holds it. A reader takes the newest map once, so
 what it reads does not change under it; a writer writes new folders and then one new map. A map is written by one
 rename-free create of a new file, which no two writers can do for one number.
 """
@@ -11,10 +11,15 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Buckets of sessions of a table without a time.
+BUCKETS = 64
 #: Tables and their time column, if they have one.
 TABLES = {"trajectories": None, "steps": "ts", "tool_calls": "ts", "tool_results": "ts", "edges": "ts", "events": "ts", "loss": None}
 
@@ -22,8 +27,8 @@ TABLES = {"trajectories": None, "steps": "ts", "tool_calls": "ts", "tool_results
 @dataclass
 class Snapshot:
     number: int = 0
-    #: By table: partition (corpus) -> version folder that holds it.
-    tables: dict[str, dict[str, str]] = field(default_factory=dict)
+    #: By table and corpus: part -> version folder that holds it.
+    tables: dict[str, dict[str, dict[str, str]]] = field(default_factory=dict)
     schemas: dict[str, str] = field(default_factory=dict)
 
     def digest(self) -> str:
@@ -64,37 +69,49 @@ class Lake:
     # -- reading
 
     def read(self, table: str, corpus: str | None = None, at: Snapshot | None = None) -> DataFrame:
-        s = at or self.snapshot()
-        held = s.tables.get(table, {})
-        folders = sorted({v for c, v in held.items() if corpus in (None, c)})
+        return self._read(table, corpus, at or self.snapshot()).drop("_part")
+
+    def _read(self, table: str, corpus: str | None, s: Snapshot, parts: set[str] | None = None) -> DataFrame:
+        """Rows with ``_part``; of some parts alone if they are named. Filters on corpus and part prune folders."""
         schema = s.schemas[table]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        parts = None
-        for folder in folders:
-            mine = [c for c, v in held.items() if v == folder and corpus in (None, c)]
-            rows = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}/{table}").where(F.col("corpus").isin(*mine))
-            parts = rows if parts is None else parts.unionByName(rows)
-        return parts.drop("_month")
+        folders: dict[str, dict[str, list[str]]] = {}
+        for c, held in s.tables.get(table, {}).items():
+            for part, folder in held.items():
+                if corpus in (None, c) and (parts is None or part in parts):
+                    folders.setdefault(folder, {}).setdefault(c, []).append(part)
+        out = None
+        for folder, held in sorted(folders.items()):
+            mine = reduce(or_, ((F.col("corpus") == c) & F.col("_part").isin(*names) for c, names in held.items()))
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}/{table}").where(mine)
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     # -- writing
 
-    def _write(self, rows: DataFrame, table: str, folder: str, corpus: str) -> str:
+    def _part(self, table: str) -> Column:
+        """Rows without a time are in the month "none", which no pruning on months of others drops by accident."""
         time = TABLES.get(table)
-        out = rows.withColumn("corpus", F.lit(corpus))
         if time:
-            # Rows without a time are in the month "none", which no pruning on months of others drops by accident.
-            out = out.withColumn("_month", F.coalesce(F.date_format(time, "yyyy-MM"), F.lit("none")))
-        out.sortWithinPartitions("session_id").write.mode("append").partitionBy("corpus", *(["_month"] if time else [])).option("compression", "zstd").parquet(f"{self.root}/{folder}/{table}")
-        return out.schema.json()
+            return F.coalesce(F.date_format(time, "yyyy-MM"), F.lit("none"))
+        return F.lpad(F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("string"), 3, "0")
+
+    def _write(self, rows: DataFrame, table: str, folder: str, corpus: str) -> dict[str, str]:
+        """Write rows as parts of a folder; the parts that are there then, which the folder's listing tells."""
+        out = rows.withColumn("corpus", F.lit(corpus)).withColumn("_part", self._part(table))
+        out.sortWithinPartitions("_part", "session_id").write.mode("append").partitionBy("corpus", "_part").option("compression", "zstd").parquet(f"{self.root}/{folder}/{table}")
+        path = self._path(f"{self.root}/{folder}/{table}/corpus={corpus}")
+        found = self._fs.listStatus(path) if self._fs.exists(path) else []
+        return {s.getPath().getName().removeprefix("_part="): folder for s in found}
 
     def _next(self, base: Snapshot) -> tuple[int, str]:
         n = (self._numbers() or [0])[-1] + 1
         return n, f"v={n}"
 
-    def _ddl(self, rows: DataFrame, table: str) -> str:
-        extra = ["_month string"] if TABLES.get(table) else []
-        return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "corpus"] + ["corpus string", *extra])
+    def _ddl(self, rows: DataFrame, held: str | None) -> str:
+        """The columns of ``rows``, and those that other rows of the table have besides."""
+        fields = {f.name: f.dataType for f in rows.schema}
+        fields |= {f.name: f.dataType for f in T.StructType.fromDDL(held) if f.name not in fields} if held else {}
+        return ", ".join([f"`{c}` {kind.simpleString()}" for c, kind in fields.items() if c not in ("corpus", "_part")] + ["corpus string", "_part string"])
 
     def load(self, relations: dict[str, DataFrame], corpus: str) -> Snapshot:
         """Replace all of a corpus; the other corpora keep their folders."""
@@ -102,54 +119,63 @@ class Lake:
         n, folder = self._next(base)
         tables, schemas = {t: dict(c) for t, c in base.tables.items()}, dict(base.schemas)
         for table, rows in relations.items():
-            self._write(rows, table, folder, corpus)
-            tables.setdefault(table, {})[corpus] = folder
-            schemas[table] = self._ddl(rows, table)
+            tables.setdefault(table, {})[corpus] = self._write(rows, table, folder, corpus)
+            schemas[table] = self._ddl(rows, schemas.get(table))
         return self._publish(Snapshot(n, tables, schemas))
 
     def sync(self, relations: dict[str, DataFrame], corpus: str, session_ids: DataFrame) -> Snapshot:
         """Replace the sessions named in ``session_ids``: all their rows go and what the relations hold of them comes.
-        Doing it again changes nothing."""
+        Doing it again changes nothing.
+
+        Only parts that hold such sessions, or get rows of them, are written anew; the others keep their folders. Which
+        parts hold them is read from the session ids alone."""
         base = self.snapshot()
+        n, folder = self._next(base)
+        tables, schemas = {t: dict(c) for t, c in base.tables.items()}, dict(base.schemas)
         ids = session_ids.select("session_id").distinct()
-        merged = {}
         for table, rows in relations.items():
-            new = rows.join(ids, "session_id", "left_semi")
-            if corpus in base.tables.get(table, {}):
-                old = self.read(table, corpus, base).join(ids, "session_id", "left_anti").drop("corpus")
-                new = old.unionByName(new.drop("corpus") if "corpus" in new.columns else new, allowMissingColumns=True)
-            merged[table] = new
-        return self.load(merged, corpus)
+            new = rows.drop("corpus").join(ids, "session_id", "left_semi")
+            held = base.tables.get(table, {}).get(corpus, {})
+            kept = dict(held)
+            if held:
+                old = self._read(table, corpus, base)
+                mine = new.select(self._part(table).alias("_part")).unionByName(old.select("session_id", "_part").join(ids, "session_id", "left_semi").select("_part"))
+                touched = {r._part for r in mine.distinct().collect()}
+                # Rows of other sessions stay, whichever columns the new ones have.
+                stay = self._read(table, corpus, base, touched).join(ids, "session_id", "left_anti").drop("corpus", "_part")
+                new = stay.unionByName(new, allowMissingColumns=True)
+                kept = {part: f for part, f in held.items() if part not in touched}
+            tables.setdefault(table, {})[corpus] = kept | self._write(new, table, folder, corpus)
+            schemas[table] = self._ddl(new, schemas.get(table))
+        return self._publish(Snapshot(n, tables, schemas))
 
     def rebuild(self, corpora: dict[str, dict[str, DataFrame]]) -> Snapshot:
         """A lake of these corpora alone, published at once."""
         n, folder = self._next(self.snapshot())
-        tables: dict[str, dict[str, str]] = {}
+        tables: dict[str, dict[str, dict[str, str]]] = {}
         schemas: dict[str, str] = {}
         for corpus, relations in corpora.items():
             for table, rows in relations.items():
-                self._write(rows, table, folder, corpus)
-                tables.setdefault(table, {})[corpus] = folder
-                schemas[table] = self._ddl(rows, table)
+                tables.setdefault(table, {})[corpus] = self._write(rows, table, folder, corpus)
+                schemas[table] = self._ddl(rows, schemas.get(table))
         return self._publish(Snapshot(n, tables, schemas))
 
-    def compact(self, keep: int = 2, files_per_partition: int = 1) -> Snapshot:
-        """Write every table anew in few files, then drop the maps and folders that the last ``keep`` maps don't name."""
+    def compact(self, keep: int = 2, part_bytes: int = 1 << 28) -> Snapshot:
+        """Write every part anew in files of about ``part_bytes``, then drop the maps and folders that the last ``keep``
+        maps don't name."""
         base = self.snapshot()
         n, folder = self._next(base)
-        tables: dict[str, dict[str, str]] = {}
+        tables: dict[str, dict[str, dict[str, str]]] = {}
         for table, held in base.tables.items():
-            for corpus in held:
-                rows = self.read(table, corpus, base).drop("corpus")
-                time = TABLES.get(table)
-                keys = [F.date_format(time, "yyyy-MM")] if time else []
-                # Sessions are dealt out within a month, so that a month is no single task's.
-                rows = rows.repartition(*keys, F.pmod(F.xxhash64("session_id"), F.lit(files_per_partition)))
-                self._write(rows, table, folder, corpus)
-                tables.setdefault(table, {})[corpus] = folder
+            for corpus, parts in held.items():
+                files = {part: -(-self._bytes(table, corpus, part, f) // part_bytes) or 1 for part, f in parts.items()}
+                # Sessions of a part are dealt out by its own size, so that a large part is no single task's.
+                dealt = F.create_map(*(F.lit(x) for pair in files.items() for x in pair))[F.col("_part")] if files else F.lit(1)
+                rows = self._read(table, corpus, base).repartition(sum(files.values()) or 1, "_part", F.pmod(F.xxhash64("session_id"), dealt))
+                tables.setdefault(table, {})[corpus] = self._write(rows.drop("corpus"), table, folder, corpus)
         done = self._publish(Snapshot(n, tables, base.schemas))
         numbers = self._numbers()[-keep:]
-        used = {v for k in numbers for held in self.snapshot(k).tables.values() for v in held.values()}
+        used = {f for k in numbers for held in self.snapshot(k).tables.values() for parts in held.values() for f in parts.values()}
         for k in self._numbers():
             if k not in numbers:
                 self._fs.delete(self._path(f"{self.root}/_CURRENT/{k}.json"), False)
@@ -159,6 +185,9 @@ class Lake:
                 self._fs.delete(status.getPath(), True)
         return done
 
+    def _bytes(self, table: str, corpus: str, part: str, folder: str) -> int:
+        return self._fs.getContentSummary(self._path(f"{self.root}/{folder}/{table}/corpus={corpus}/_part={part}")).getLength()
+
     # -- checking
 
     def verify(self, relations: dict[str, DataFrame], corpus: str) -> DataFrame:
@@ -182,8 +211,8 @@ class Lake:
 
     def status(self) -> DataFrame:
         s = self.snapshot()
-        rows = [(t, c, v, self._fs.getContentSummary(self._path(f"{self.root}/{v}/{t}/corpus={c}")).getLength()) for t, held in s.tables.items() for c, v in held.items()]
-        return self.spark.createDataFrame(rows, "table string, corpus string, folder string, bytes long")
+        rows = [(t, c, part, f, self._bytes(t, c, part, f)) for t, held in s.tables.items() for c, parts in held.items() for part, f in parts.items()]
+        return self.spark.createDataFrame(rows, "table string, corpus string, part string, folder string, bytes long")
 
 
 def hashes(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

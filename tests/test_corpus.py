@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from stepwell import schemas
 from stepwell.operators import passes, views
@@ -102,7 +103,31 @@ def test_lake(spark, tmp_path, relations):
     lake.compact(keep=1)
     assert sorted(map(str, lake.read("tool_calls").collect())) == before
     assert lake.verify({"steps": steps}, "main").count() == 0
-    assert {r.table for r in lake.status().collect()} == set(relations)
+    assert {r.table for r in lake.status().collect()} == {t for t, df in relations.items() if not df.isEmpty()}
+
+
+def test_sync_writes_the_parts_it_touches(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rows = [(f"s{k}", k, f"2025-0{1 + k % 3}-05 00:00:00") for k in range(9)]
+    schema = "session_id string, step_id long, ts string"
+    of = lambda rows: spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    lake.load({"steps": of(rows)}, "main")
+    lake.load({"steps": of([("x", 1, None)])}, "other")
+    # s0 moves from January to no month; February and March stay where they are.
+    new = of([("s0", 5, None)]).withColumn("more", F.lit("m"))
+    lake.sync({"steps": new}, "main", new)
+    assert {(r.corpus, r.part): r.folder for r in lake.status().collect()} == {("main", "2025-01"): "v=3", ("main", "none"): "v=3", ("main", "2025-02"): "v=1", ("main", "2025-03"): "v=1", ("other", "none"): "v=2"}
+    got = sorted((r.session_id, r.step_id, r.more) for r in lake.read("steps").collect())
+    assert got == sorted([(s, k, None) for s, k, _ in rows[1:]] + [("s0", 5, "m"), ("x", 1, None)])
+    # A session of which nothing comes is gone, and its part with it when nothing else is there.
+    lake.sync({"steps": new.limit(0)}, "main", spark.createDataFrame([("s0",), ("s1",), ("s4",), ("s7",)], "session_id string"))
+    assert sorted(r.part for r in lake.status().where("corpus = 'main'").collect()) == ["2025-01", "2025-03"]
+    before = sorted(map(str, lake.read("steps").collect()))
+    lake.sync({"steps": of([("y", 1, None)])}, "third", of([("y", 1, None)]))
+    assert "more" in lake.read("steps").columns
+    lake.sync({"steps": new.limit(0)}, "third", of([("y", 1, None)]))
+    lake.compact(keep=1, part_bytes=100)
+    assert sorted(map(str, lake.read("steps").collect())) == before and {r.folder for r in lake.status().collect()} == {"v=7"}
 
 
 def test_stream_into_the_lake(spark, tmp_path, relations):
