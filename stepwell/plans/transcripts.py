@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import macros
 from ..operators import friction, item_log, passes, stages, transcript
 from ..session import table
-from ..sources import vectors
+from ..sources import publish, vectors
 from .inputs import Relations, oracle_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +175,19 @@ def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_log.outcomes(items)[1].select("session_id", "line", "call_id", "item_id")
 
 
+@query("SELECT user_id, median(value) AS median FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 7 GROUP BY user_id HAVING count(*) = 7")
+def probe_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish.recent_median(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
+
+
+@query("SELECT 'doc-' || doc_id AS path, CASE doc_id % 9 WHEN 1 THEN 'gone' WHEN 2 THEN 'new' ELSE 'changed' END AS why FROM documents WHERE doc_id % 9 IN (1, 2, 3)")
+def changed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id") % 9
+    text = F.coalesce("text", F.lit(""))
+    of = lambda text: docs.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+    return publish.changed(of(text).where(n != 2).drop("doc_id"), of(F.when(n == 3, F.concat(text, F.lit("!"))).otherwise(text)).where(n != 1).drop("doc_id"))
+
+
 @query(r"""SELECT CAST(doc_id AS VARCHAR) AS finding, CASE WHEN doc_id % 5 = 1 THEN 'no_quote' WHEN doc_id % 5 = 2 THEN 'unknown_step' WHEN doc_id % 5 = 3 THEN 'not_said' WHEN trim(regexp_replace(substr(text, 5, 40), '\s+', ' ', 'g')) = '' THEN 'no_quote' END AS dropped FROM documents WHERE text IS NOT NULL""")
 def cited_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, n = table(spark, sf_dir, "documents").where("text IS NOT NULL"), F.col("doc_id")

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,25 @@ def test_sandbox_refuses_what_reaches_the_machine(spark):
     assert sandbox.run(spark, "SELECT upper('x'), count(*) FROM range(3) WHERE id > 0;").count() == 1
     assert spark.conf.get("spark.sql.runSQLOnFiles") == before
     assert [sandbox.exit_code(e) for e in (sandbox.Refused("x"), RuntimeError())] == [sandbox.EXIT_REFUSED, sandbox.EXIT_RUNTIME]
+
+
+def test_typed_files_stand_for_the_trajectory(spark, root):
+    before = {n: sorted(map(str, df.select(sorted(df.columns)).collect())) for n, df in Corpus(spark, str(root)).relations().items() if n != "trajectories"}
+    r = Corpus(spark, str(root)).relations()
+    files = {"session": r["trajectories"].select("schema_version", F.lit("inner").alias("session_id"), "agent", "final_metrics", "extra"), "steps": r["steps"], "tool_calls": r["tool_calls"], "tool_results": r["tool_results"], "session_events": r["events"]}
+    for sid in ("s1", "s2"):
+        for name, df in files.items():
+            rows = df if name == "session" else df.where(F.col("session_id") == sid)
+            pq.write_table(rows.limit(1 if name == "session" else 1000).toArrow(), root / "sessions" / sid / f"{name}.parquet")
+    meta = root / "sessions" / "s1" / "meta.json"
+    meta.write_text(json.dumps(json.loads(meta.read_text()) | {"columnar_schema": 2}))
+    (root / "sessions" / "s1" / "trajectory.json").write_text("no longer read")
+    (root / "sessions" / "s2" / "steps.parquet").write_bytes(b"torn")  # another version, so it is not opened
+    corpus = Corpus(spark, str(root))
+    assert corpus.typed == {"s1"}
+    after = corpus.relations()
+    for n, want in before.items():
+        assert sorted(map(str, after[n].select(sorted(after[n].columns)).collect())) == want, n
+    assert {x.session_id for x in views.VIEWS["sessions"](after).where("cwd = '/w' AND step_count = 4").collect()} == {"s1", "s2"}
+    (root / "sessions" / "s1" / "tool_calls.parquet").write_bytes(b"x" * 16)
+    assert Corpus(spark, str(root)).typed == frozenset()
