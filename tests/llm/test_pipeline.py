@@ -44,3 +44,25 @@ def test_pipeline(spark, tmp_path):
     for r in got:
         ids = library.encode(docs[r.doc_id][1], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(docs[r.doc_id][1].encode()).hexdigest())
+
+
+def test_pipeline_of_clashing_columns_repeated_rows_and_no_rows(spark, tmp_path):
+    rng = random.Random(9)
+    stems = "the ing tion and th wh of en re".split()
+    text = lambda: " ".join("".join(rng.choice(stems) for _ in range(rng.randrange(1, 5))) for _ in range(150))
+    rows = [(k, text(), "en", "s", 1, "a", 2.0, [k], "x") for k in range(20)]
+    rows += [rows[3], (None, rows[4][1], "en", None, None, None, None, None, None), (30, None, None, None, None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_tokens double, ids array<long>, class_id string"
+    spark.createDataFrame([(1, text()), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/some/benchmark.parquet")
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/some/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    ids = sorted((r.doc_id for r in got if r.doc_id is not None))
+    # The copy without an id and the one with it are one class, of which one row stays.
+    assert len(got) == 20 and set(range(20)) - set(ids) <= {4}
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    texts = {r[0]: r[1] for r in rows if r[1]}
+    assert all(r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in got)
+
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
