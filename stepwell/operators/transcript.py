@@ -99,9 +99,17 @@ def request_numbers(items: DataFrame) -> DataFrame:
 
 def nested_outcomes(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Items that lie in exactly one execution window (session_id, call_id, opened, closed) belong to its call; one that
-    lies in several is refused. Windows of a session are few, and both sides meet by session."""
-    inside = items.join(windows, "session_id").where((F.col("opened") < F.col("line")) & (F.col("line") < F.col("closed")))
-    return inside.groupBy("session_id", "line").agg(F.min("call_id").alias("call_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    lies in several is refused.
+
+    No item meets every window of its session: windows are numbered, and where a running count says that one is open, the
+    running sum of the numbers of those open is its number. A window holds neither line of its ends."""
+    numbered = windows.withColumn("number", F.row_number().over(Window.partitionBy("session_id").orderBy("opened", "closed", "call_id")).cast("long"))
+    ends = F.explode(F.array(F.struct((2 * F.col("opened") + 1).alias("at"), F.lit(1).alias("d")), F.struct((2 * F.col("closed")).alias("at"), F.lit(-1).alias("d")))).alias("e")
+    marks = numbered.where("opened < closed").select("session_id", "number", ends).select("session_id", "e.at", "e.d", (F.col("number") * F.col("e.d")).alias("number"))
+    both = marks.unionByName(items.select("session_id", "line", (2 * F.col("line")).alias("at"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("number")), allowMissingColumns=True)
+    so_far = Window.partitionBy("session_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("n", F.sum("d").over(so_far)).withColumn("number", F.sum("number").over(so_far)).where("line IS NOT NULL AND n = 1")
+    return inside.join(numbered.select("session_id", "number", "call_id"), ["session_id", "number"]).select("session_id", "line", "call_id")
 
 
 def collapsed(text: Column) -> Column:

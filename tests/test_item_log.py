@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from stepwell.operators import item_log
+from stepwell.operators import item_log, transcript
 
 from test_convert import lines
 
@@ -146,3 +146,12 @@ def test_scripts_like_a_loop(spark, seed):
     want = {(c, n) for n, c in claimed.items() if c not in doubtful}
     _, made = item_log.outcomes(item_log.items(lines(spark, *log)))
     assert {(r.call_id, r.item_id) for r in made.collect()} == want
+
+
+def test_items_in_one_window_like_a_loop(spark):
+    rng = random.Random(4)
+    windows = [(f"s{k % 3}", f"c{k}", at := rng.randrange(100), at + rng.randrange(-2, 12)) for k in range(30)]
+    items = [(f"s{s}", line) for s in range(4) for line in range(0, 110, 2)]
+    inside = {i: [c for s, c, a, b in windows if s == i[0] and a < i[1] < b] for i in items}
+    got = transcript.nested_outcomes(spark.createDataFrame(windows, "session_id string, call_id string, opened long, closed long"), spark.createDataFrame(items, "session_id string, line long"))
+    assert sorted(map(tuple, got.collect())) == sorted((*i, c[0]) for i, c in inside.items() if len(c) == 1)
