@@ -39,3 +39,15 @@ def test_same_as_sql(spark, engine, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_citations_of_odd_documents(spark, tmp_path):
+    texts = ["ab", "", "abcd \n\t ", "abcd\f\r", "abcd\u00a0\u00a0", "abcd \u3000 ", "abcd\u2003\u202f", "abcd\v\v", "abcd\u3000hello\u3000", "words that\nno  document has", "abcd hello  there", None]
+    rows = [(5 * i + m, t) for i, t in enumerate(texts) for m in range(5)] + [(-3, "abcd so"), (-7, "a"), (None, "abcd so"), (None, "ab")]
+    rows += [(n, t) for n in range(1000, 1005) for t in ("ab", "abcd one", "abcd two", "abcd two")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    got = entry.queries()["cited_findings"](spark, str(tmp_path)).select("finding", "dropped").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(ORACLES["cited_findings"]).fetchall()))
